@@ -155,7 +155,7 @@ def advisory_gate(score: Column, is_anomaly: Column, rule_sum: Column, factor: f
 def _plus(label: Column | str, score: str) -> Column:
     label = F.lit(label) if isinstance(label, str) else label
     return F.when(
-        F.col(score) > 0, F.concat(label, F.lit("(+"), F.format_number(F.col(score), "0.0"), F.lit(")"))
+        F.col(score) > 0, F.concat(label, F.lit("(+"), F.format_string("%.1f", F.col(score)), F.lit(")"))
     )
 
 
@@ -212,7 +212,7 @@ def realtime_score(
         F.concat(
             F.array(
                 _plus(text("VELOCITY:", count.cast("string"), "txns/2min"), "velocity_part"),
-                _plus(text("AMOUNT:", F.format_number(amount, "0.00")), "amount_part"),
+                _plus(text("AMOUNT:", F.format_string("%.2f", amount.cast("double"))), "amount_part"),
                 _plus(text("PATTERN:", F.col("pattern_detected")), "pattern_part"),
                 F.when((F.col("pattern_detected") == "VELOCITY_BURST"), "PATTERN:VELOCITY_BURST"),
                 _plus("DUPLICATE:same_amount_rapid", "duplicate_part"),
@@ -222,8 +222,8 @@ def realtime_score(
                 _plus(text("COP:", F.col("cop_reason")), "cop_score"),
                 _plus(f"VELOCITY_INBOUND_BURST:{inbound_minimum}+senders/month", "inbound_part"),
                 _plus("AMOUNT_EXCEEDS_INCOME:spent>salary", "income_part"),
-                _plus(text("ML_ANOMALY:iforest(", F.format_number("anomaly_score", "0.0"), ")"), "anomaly_part"),
-                _plus(text("ML_GRAPH:gnn(", F.format_number("graph_score", "0.00"), ")"), "graph_part"),
+                _plus(text("ML_ANOMALY:iforest(", F.format_string("%.1f", F.col("anomaly_score")), ")"), "anomaly_part"),
+                _plus(text("ML_GRAPH:gnn(", F.format_string("%.2f", F.col("graph_score")), ")"), "graph_part"),
             ),
         )
     )

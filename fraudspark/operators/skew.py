@@ -91,16 +91,16 @@ def running_balance(
 def over_small_table(
     big: DataFrame,
     small: DataFrame,
+    rows: int,
     apply_piece: Callable[[DataFrame, DataFrame], DataFrame],
     spread_by: str,
     limit: int = 5_000,
 ) -> DataFrame:
     """Union of ``apply_piece(big, piece)`` over pieces of ``small`` of proven size.
 
-    ``small`` is counted first. Up to ``limit`` rows it is one piece; beyond that it is split by
-    hash, and each piece is applied to ``big`` in turn, so no broadcast grows with the table.
+    ``rows`` is the counted size of ``small``. Up to ``limit`` rows it is one piece; beyond that it is
+    split by hash, and each piece is applied to ``big`` in turn, so no broadcast grows with the table.
     """
-    rows = small.count()
     pieces = max(1, -(-rows // limit))
     if pieces == 1:
         return apply_piece(big, small)
