@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, for use inside higher-order functions."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalized(name: Column) -> Column:
     return F.lower(F.trim(name))
 
@@ -23,8 +28,10 @@ def trigrams(text: Column) -> Column:
 
 def numbered_characters(text: Column) -> Column:
     """Each character with its occurrence number: sets whose overlap is the overlap of the letter bags."""
-    letters = F.filter(F.split(text, ""), lambda c: c != "")
-    ordered = F.array_sort(letters)
-    return F.transform(
-        ordered, lambda c, i: F.concat(c, F.lit("#"), (i - F.array_position(ordered, c) + 2).cast("string"))
+    letters = F.array_sort(F.filter(F.split(text, ""), lambda c: c != ""))
+    return let(
+        letters,
+        lambda ordered: F.transform(
+            ordered, lambda c, i: F.concat(c, F.lit("#"), (i - F.array_position(ordered, c) + 2).cast("string"))
+        ),
     )

@@ -216,6 +216,17 @@ VIEWS: dict[str, str] = {
                CASE c_custkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 4 ELSE -1 END AS registered_social_profiles,
                'pw-' || CAST(c_custkey % 200 AS STRING) AS password
         FROM {customer}""",
+    # Countries each signal of a contact points to; empty where unknown.
+    "contact_countries": """
+        SELECT 'U' || lpad(CAST(c_custkey AS STRING), 6, '0') AS entity_id,
+               CASE c_custkey % 4 WHEN 0 THEN 'gb' WHEN 1 THEN 'FR' WHEN 2 THEN 'US' ELSE '' END AS ip_country,
+               CASE c_custkey % 3 WHEN 0 THEN 'GB' WHEN 1 THEN '' ELSE 'DE' END AS phone_country
+        FROM {customer}""",
+    "enrichments": """
+        SELECT c_custkey AS id, 'C' || lpad(CAST(c_custkey * 7 % 60 AS STRING), 6, '0') AS entity_id,
+               CASE c_custkey % 3 WHEN 0 THEN 'email' WHEN 1 THEN 'ip' ELSE 'phone' END AS enrichment_type,
+               CAST(c_custkey % 100 AS INT) AS risk_score, MAKE_TS[1700000000000000 + c_custkey * 1000000 % 7777777777] AS created_at
+        FROM {customer}""",
     # Reference lists as they come from text files: comments, blanks and mixed case included.
     "reflist_lines": """
         SELECT 'tor' AS kind, CASE s_suppkey % 10 WHEN 0 THEN '# comment ' || s_name WHEN 1 THEN '   '
@@ -252,7 +263,7 @@ VIEWS: dict[str, str] = {
         FROM {customer}""",
     "device": """
         SELECT event_id, 'U' || lpad(CAST(user_id AS STRING), 6, '0') AS user_id,
-               CASE event_id % 17 WHEN 0 THEN 'Mozilla HeadlessSChrome' WHEN 1 THEN 'PhantomJS' WHEN 2 THEN 'Mozilla Mobile Android'
+               CASE event_id % 17 WHEN 0 THEN 'Mozilla HeadlessChrome' WHEN 1 THEN 'PhantomJS' WHEN 2 THEN 'Mozilla Mobile Android'
                     ELSE 'Mozilla Desktop' END AS user_agent,
                CASE user_id % 3 WHEN 0 THEN 'Linux' WHEN 1 THEN 'Win32' ELSE 'MacIntel' END AS platform,
                'en-GB' AS language, CASE user_id % 2 WHEN 0 THEN 'Europe/London' ELSE 'Europe/Paris' END AS timezone_name,
