@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -41,3 +43,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="fraudspark-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder name for intermediate tables and stream progress, below the shared checkpoint folder."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    base = shared or tempfile.mkdtemp(prefix="fraudspark-")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def ship_package() -> None:
+    """Functions and classes of this package travel to the Python workers with the task, not by name.
+
+    The package is then needed on the driver only.
+    """
+    import fraudspark
+
+    register_pickle_by_value(fraudspark)
