@@ -90,14 +90,17 @@ def as_messages(df: DataFrame, key: str | None = None) -> DataFrame:
 
 
 def model_record(raw: DataFrame, fields: Sequence[str] = ()) -> DataFrame:
-    """Adds ``record``, a struct of text fields: null unless the payload is a JSON object."""
+    """Adds ``record``, a struct of text fields: null unless the payload is a JSON object.
+
+    The parsed struct passes through a generator, so that it is computed once per row and not again for
+    every field taken from it.
+    """
     wanted = list(dict.fromkeys(["transaction_id", "external_id", "sender_id", "event_time", "created_at", *MODEL_FEATURES, *fields]))
     schema = ", ".join(f"`{name}` STRING" for name in wanted) + ", `_bad` STRING"
     value = F.col("payload").cast("string")
     parsed = F.from_json(value, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    return raw.withColumn("r", F.when(F.trim(value).startswith("{"), parsed)).withColumn(
-        "record", F.when(F.col("r").isNotNull() & F.col("r._bad").isNull(), F.col("r").dropFields("_bad"))
-    ).drop("r")
+    once = raw.withColumn("record", F.explode(F.array(F.when(F.trim(value).startswith("{"), parsed))))
+    return once.withColumn("record", F.when(F.col("record._bad").isNull(), F.col("record")))
 
 
 def model_features(parsed: DataFrame) -> DataFrame:

@@ -51,10 +51,9 @@ def overlapping_pairs(left: DataFrame, right: DataFrame, tokens, share: float) -
     first_shared = F.get(F.array_intersect("l_prefix", "r_prefix"), F.lit(0)) == F.col("token")
     return (
         probe.join(build, "token").filter(sizes & first_shared)
-        .select(
-            "l_text", "r_text", "l_size", "r_size",
-            F.size(F.array_intersect("l_tokens", "r_tokens")).alias("overlap"),
-        )
+        # Through a generator, so that the overlap is worked out once and not in every later expression.
+        .withColumn("overlap", F.explode(F.array(F.size(F.array_intersect("l_tokens", "r_tokens")))))
+        .select("l_text", "r_text", "l_size", "r_size", "overlap")
     )
 
 
@@ -117,7 +116,9 @@ def screen_ratio(names: DataFrame, watch: DataFrame, threshold: float = 0.7) ->
     pairs = overlapping_pairs(left, right, numbered_characters, share).filter(
         2 * F.col("overlap") >= (F.col("l_size") + F.col("r_size")) * threshold - 1e-9
     )
-    scored = pairs.withColumn("ratio", sequence_ratio("l_text", "r_text")).filter(F.col("ratio") >= threshold)
+    # Few bytes but much work per pair: a fixed number of partitions keeps all cores busy.
+    spread = pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "l_text", "r_text")
+    scored = spread.withColumn("ratio", sequence_ratio("l_text", "r_text")).filter(F.col("ratio") >= threshold)
     return (
         scored.join(left.withColumnRenamed("text", "l_text"), "l_text")
         .join(right.withColumnRenamed("text", "r_text"), "r_text")
