@@ -108,17 +108,22 @@ def recent_model_scores(model_scores: DataFrame, as_of: Column, hours: int = 24)
 
 
 def percentiles(errors: DataFrame, calibration: DataFrame, group: str = "model_name", value: str = "score", pieces: int = 200) -> DataFrame:
-    """Adds ``percentile``: the share of the group's calibration below the error, or a sigmoid without any."""
+    """Adds ``percentile``: the share of the group's calibration below the error, or a sigmoid without any.
+
+    Shares are worked out once per distinct value and joined back.
+    """
     cuts = _value_slices(calibration, group, value, pieces)
-    known = errors.join(cuts, group, "left")
-    sliced = lambda df: df.withColumn("slice", _in_slice("cuts", value)).drop("cuts")
-    points = sliced(known.filter(F.col("cuts").isNotNull()))
-    deltas = sliced(calibration.select(group, value).join(cuts, group)).withColumn("below", F.lit(1).cast("long"))
-    counted = running_balance(points, deltas, [group], value, ["below"], inclusive=False)
+    sliced = lambda df: df.join(cuts, group).withColumn("slice", _in_slice("cuts", value)).drop("cuts")
+    points = sliced(errors.select(group, value).distinct())
+    deltas = sliced(calibration.groupBy(group, value).agg(F.count("*").alias("below")))
     totals = calibration.groupBy(group).agg(F.count("*").alias("__total"))
-    ranked = counted.join(totals, group).withColumn("percentile", F.col("below") / F.col("__total")).drop("below", "__total", "slice")
-    bare = known.filter(F.col("cuts").isNull()).drop("cuts").withColumn("percentile", 1.0 / (1.0 + F.exp(-(F.col(value) - 1.0))))
-    return ranked.unionByName(bare).withColumn("is_anomaly", F.col("percentile") >= 0.95)
+    counted = running_balance(points, deltas, [group], value, ["below"], inclusive=False).join(totals, group)
+    ranked = counted.select(group, value, (F.col("below") / F.col("__total")).alias("percentile"))
+    fallback = 1.0 / (1.0 + F.exp(-(F.col(value) - 1.0)))
+    return (
+        errors.join(ranked, [group, value], "left").withColumn("percentile", F.coalesce("percentile", fallback))
+        .withColumn("is_anomaly", F.col("percentile") >= 0.95)
+    )
 
 
 def calibration_percentiles(errors: DataFrame, points: Sequence[float] = (0.05, 0.5, 0.95, 0.99), group: str = "model_name", value: str = "score") -> DataFrame:

@@ -118,7 +118,9 @@ def screen_ratio(names: DataFrame, watch: DataFrame, threshold: float = 0.7) ->
     )
     # Few bytes but much work per pair: a fixed number of partitions keeps all cores busy.
     spread = pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "l_text", "r_text")
-    scored = spread.withColumn("ratio", sequence_ratio("l_text", "r_text")).filter(F.col("ratio") >= threshold)
+    # Declared not deterministic, or the optimiser would move it below the cut by overlap.
+    ratio = sequence_ratio.asNondeterministic()
+    scored = spread.withColumn("ratio", ratio("l_text", "r_text")).filter(F.col("ratio") >= threshold)
     return (
         scored.join(left.withColumnRenamed("text", "l_text"), "l_text")
         .join(right.withColumnRenamed("text", "r_text"), "r_text")

@@ -107,20 +107,20 @@ def rapid_duplicates(
     )
 
 
-def inbound_senders(tx: DataFrame, days: int = 30, slice_seconds: int = 86_400) -> DataFrame:
+def inbound_senders(tx: DataFrame, days: int = 30, slice_seconds: int = 600, merge_seconds: int = 86_400) -> DataFrame:
     """Distinct senders per receiver in the trailing window, as ``inbound_unique_senders``.
 
     A sender is present from an event until ``days`` after it. Presence is merged per (receiver,
-    sender) from one row per slice, then entries and exits are summed over time: no set of senders is
-    ever held for a receiver. The slice may not be longer than the window.
+    sender) from one row per ``merge_seconds``, which may not exceed the window; then entries and exits
+    are summed over time. No set of senders is ever held for a receiver.
     """
     span, width = days * DAY, slice_seconds * MICROS
-    if width > span:
-        raise ValueError("the slice must fit in the window")
+    if merge_seconds * MICROS > span:
+        raise ValueError("merge_seconds must fit in the window")
     points = tx.withColumn("__t", micros("event_time")).withColumn("slice", slice_of(F.col("__t"), width))
     seen = (
         points.filter(F.col("receiver_id").isNotNull())
-        .groupBy("receiver_id", "sender_id", "slice")
+        .groupBy("receiver_id", "sender_id", slice_of(F.col("__t"), merge_seconds * MICROS).alias("slice"))
         .agg(F.min("__t").alias("first"), F.max("__t").alias("last"))
     )
     order = Window.partitionBy("receiver_id", "sender_id").orderBy("slice")
