@@ -25,7 +25,29 @@ def micros(column: Column | str) -> Column:
 
 
 def slice_of(order: Column, width: int) -> Column:
-    return F.floor(order / F.lit(width)).cast("long")
+    """Number of the slice of ``width`` microseconds an instant lies in."""
+    return ((order - F.pmod(order, F.lit(width))) / F.lit(width)).cast("long")
+
+
+def with_slices(df: DataFrame, key: str, order: Column, coarse: int, fine: int, dense_rows: int) -> DataFrame:
+    """Adds ``slice``, the start of the slice of each row: coarse, but fine where a key is busy.
+
+    A coarse slice of a key with more than ``dense_rows`` rows is cut further; ``coarse`` must be a
+    multiple of ``fine``. Only the busy slices are listed, from an aggregate with map-side combine.
+    """
+    if coarse % fine:
+        raise ValueError("a coarse slice must hold whole fine ones")
+    start = lambda width: slice_of(order, width) * F.lit(width)
+    keyed = df.withColumn("__coarse", start(coarse))
+    busy = (
+        keyed.groupBy(key, "__coarse").agg(F.count("*").alias("n")).filter(F.col("n") > dense_rows)
+        .select(key, "__coarse", F.lit(True).alias("__busy"))
+    )
+    return (
+        keyed.join(busy, [key, "__coarse"], "left")
+        .withColumn("slice", F.when(F.col("__busy"), start(fine)).otherwise(F.col("__coarse")))
+        .drop("__coarse", "__busy")
+    )
 
 
 def with_lookback(df: DataFrame, order: str, width: int, lookback: int) -> DataFrame:
