@@ -1,4 +1,4 @@
-"""Wall time of the headline queries: one warm-up, then the median of three runs. Prints one JSON line."""
+"""Wall time of the headline queries: one warm-up, then the median of BENCH_REPEATS (2) runs. Prints one JSON line."""
 
 from __future__ import annotations
 
@@ -29,7 +29,7 @@ def run(spark, name: str, sf_dir: str) -> float:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    repeats = int(os.environ.get("BENCH_REPEATS", "3"))
+    repeats = int(os.environ.get("BENCH_REPEATS", "2"))
     names = sys.argv[1:] or HEADLINE
     names = list(QUERIES) if names == ["all"] else names
     spark = local_session(cpus, partitions=int(cpus) if cpus.isdigit() else 8, app="bench")
