@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fraudspark.operators.components import connected_components
 from fraudspark.session import cut_lineage
 
 # Names of the graph features in contract order, and of the payment features before them.
@@ -142,31 +143,9 @@ def khop_network(edges: DataFrame, roots: DataFrame, depth: int = 2) -> tuple[Da
     return reached, touching
 
 
-def component_labels(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """(node, component): the component is named by its smallest node.
-
-    Every node takes the smallest label around it and then the label of that label, so the distance
-    covered doubles per round. Each round is checkpointed; the loop ends when no label changes.
-    """
-    neighbours = cut_lineage(_neighbours(edges))
-    nodes = edges.select(F.explode(F.array("sender_id", "receiver_id")).alias("node")).distinct()
-    labels = cut_lineage(nodes.select("node", F.col("node").alias("component")))
-    for _ in range(max_rounds):
-        around = (
-            neighbours.join(labels.withColumnRenamed("node", "neighbour"), "neighbour")
-            .groupBy("node").agg(F.min("component").alias("smallest"))
-        )
-        lowered = labels.join(around, "node", "left").select(
-            "node", F.col("component").alias("old"), F.least("component", F.coalesce("smallest", "component")).alias("component")
-        )
-        jump = lowered.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        moved = cut_lineage(
-            lowered.join(jump, "component", "left").select("node", "old", F.least("component", F.coalesce("further", "component")).alias("component"))
-        )
-        labels = moved.select("node", "component")
-        if moved.filter(F.col("old") != F.col("component")).isEmpty():
-            return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+def component_labels(edges: DataFrame) -> DataFrame:
+    """(node, component): the component is named by its smallest node. Rounds grow with the logarithm of the nodes."""
+    return connected_components(edges, "sender_id", "receiver_id")
 
 
 def communities(tx: DataFrame, labels: DataFrame) -> DataFrame:
