@@ -22,10 +22,10 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     active = cut_lineage(edges.filter(F.col(left) != F.col(right)).select(F.col(left).alias("a"), F.col(right).alias("b")).distinct())
     pointers = []
     while not active.isEmpty():
-        order = lambda c: F.struct(F.xxhash64(F.lit(len(pointers)), c), c)  # noqa: B023, E731
+        order = lambda c: F.struct(F.xxhash64(F.lit(len(pointers)), c).alias("h"), c.alias("n"))  # noqa: B023, E731
         ends = F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))
         first = active.select(F.explode(ends).alias("e")).select("e.*").groupBy("node").agg(F.min(order(F.col("other"))).alias("first"))
-        first = first.select("node", F.when(F.col("first") < order(F.col("node")), F.col("first")["col2"]).otherwise(F.col("node")).alias("to"))
+        first = first.select("node", F.when(F.col("first") < order(F.col("node")), F.col("first.n")).otherwise(F.col("node")).alias("to"))
         first = cut_lineage(first)
         active = cut_lineage(
             active.join(first.withColumnRenamed("node", "a"), "a").select(F.col("to").alias("a"), "b")
