@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fraudspark.llm import decontam, packing, quality, secrets, simhash
+from fraudspark.llm import decontam, lines, packing, quality, secrets, simhash
 from fraudspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +50,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), accept=0.7)
 
 
+@query("op6_lines", lines.ORACLE)
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(table(spark, sf_dir, "documents"), site="source", least_sites=10)
+
+
 @query("op7_decontam", decontam.ORACLE)
 def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10).drop("items", "spans")
