@@ -31,6 +31,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """A public tokenizer's file, in the package installed with the interpreter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def whole_text(name: str = "text") -> Column:
     """The text, null as the empty one."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
