@@ -32,24 +32,33 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the rows survive the loss of executors.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that is unset,
-    as in tests, a scratch folder of this machine is used.
+    Where it is unset, a local session gets a scratch folder of its own; on a cluster that is an error, since
+    executors do not see each other's disks.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="fraudspark-checkpoint-"))
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not found:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder which the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="fraudspark-")
+        context.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder: the rows survive the loss of executors."""
+    folder = shared_folder(df.sparkSession)
+    if df.sparkSession.sparkContext.getCheckpointDir() is None:
+        df.sparkSession.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder name for intermediate tables and stream progress, below the shared checkpoint folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    base = shared or tempfile.mkdtemp(prefix="fraudspark-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    """A new folder name for intermediate tables and stream progress, below the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def ship_package() -> None:
