@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fraudspark.session import scratch_path
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -16,17 +17,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new name below the folder that all executors and the driver share, ``spark.checkpoint.dir``."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder which the driver and all executors share")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The same rows, written once as a table in the shared folder: lineage ends here, and nothing is computed twice."""
-    path = shared_path(df.sparkSession, name)
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -48,10 +41,11 @@ def fold(held: str, divisor: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(F.col(held).cast("string")) % divisor == remainder, F.lit(False))
 
 
-def per_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def per_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch], rows: int = 500) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``fn`` over each batch, ``rows`` rows at a time so that little is held besides the batch itself."""
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                yield fn(batch)
+            for at in range(0, batch.num_rows, rows):
+                yield fn(batch.slice(at, rows))
 
     return run

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fraudspark.llm.common import shared_path
+from fraudspark.session import scratch_path
 
 # The format's version, line end, record end, date of records without one, and revisit profile.
 VERSION = "WARC/1.1"
@@ -148,6 +148,6 @@ def archive(pages: DataFrame, least_bytes: int = 0, path: str | None = None) ->
     An empty table gives an empty archive and no rows.
     """
     spark = pages.sparkSession
-    path = path or shared_path(spark, "warc")
+    path = path or scratch_path(spark, "warc")
     write_archives(pages, path, least_bytes)
     return read_archives(spark, path, pages.schema["page_id"].dataType.simpleString())
