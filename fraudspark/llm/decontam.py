@@ -185,20 +185,22 @@ def shards_of(items: DataFrame, window: int, shard_words: int) -> list[SuffixAut
     return [*shards, SuffixAutomaton(batch, window)]
 
 
-def scan_documents(docs: DataFrame, items: DataFrame, window: int = 10, shard_words: int = SHARD_WORDS) -> DataFrame:
+def scan_documents(docs: DataFrame, items: DataFrame, window: int = 10, shard_words: int = SHARD_WORDS, finish=None) -> DataFrame:
     """``docs`` with ``_words`` (count), ``_spans`` (array of [first, past]) and ``_items`` (array), over whole texts.
 
     Null and empty texts have no words. Repeated rows stay. Other columns of ``docs`` are kept as they are.
+    ``finish`` turns each batch of the last pass into what is returned, in the same stage.
     """
     context = docs.sparkSession.sparkContext
     out = docs.select("*", F.lit(0).cast("long").alias("_words"), F.lit(None).cast("array<array<long>>").alias("_spans"), F.lit(None).cast("array<long>").alias("_items"))
     schema = out.schema
-    for automaton in shards_of(items, window, shard_words):
-        out = out.mapInArrow(_scanner(context.broadcast(automaton)), schema)
+    shards = shards_of(items, window, shard_words)
+    for number, automaton in enumerate(shards, 1):
+        out = out.mapInArrow(_scanner(context.broadcast(automaton), finish if number == len(shards) else None), schema)
     return out
 
 
-def _scanner(shared):
+def _scanner(shared, finish=None):
     def scan(batch: pa.RecordBatch) -> pa.RecordBatch:
         automaton = shared.value
         counts, spans, items = [], [], []
@@ -214,7 +216,8 @@ def _scanner(shared):
             "_words": pa.array(counts, pa.int64()), "_spans": pa.array(spans, batch.schema.field("_spans").type),
             "_items": pa.array(items, batch.schema.field("_items").type),
         }
-        return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+        out = pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+        return finish(out) if finish else out
 
     return per_batch(scan)
 
@@ -244,9 +247,6 @@ def decontaminate(
     Same columns as ``docs``; ``n_chars``, where there, counts the new text. Documents without a hit, with null
     or without words stay as they are.
     """
-    found = scan_documents(docs, items, window, shard_words)
-    schema = found.schema
-
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep, texts = [], []
         for text, spans, words in zip(*(batch[c].to_pylist() for c in ("text", "_spans", "_words")), strict=True):
@@ -256,7 +256,7 @@ def decontaminate(
         index = batch.schema.get_field_index("text")
         return batch.set_column(index, batch.schema.field(index), pa.array(texts, batch.schema.field(index).type)).filter(pa.array(keep, pa.bool_()))
 
-    hits = found.mapInArrow(per_batch(cut), schema)
+    hits = scan_documents(docs, items, window, shard_words, cut)
     return hits.select(*[F.when(F.col("_spans").isNull(), F.col(c)).otherwise(F.length(whole_text()).cast(docs.schema[c].dataType)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
