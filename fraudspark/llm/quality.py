@@ -47,14 +47,14 @@ class ByteConvNet:
         """Response of each filter to each byte at each place of the window: (WIDTH, 256, FILTERS)."""
         return np.einsum("bv,wvf->wbf", self.values["bytes"], self.values["filters"]).astype(np.float32)
 
-    def fit(self, texts: list[np.ndarray], labels: np.ndarray, epochs: int = 8, batch: int = 64, rate: float = 0.01, seed: int = 11) -> ByteConvNet:
+    def fit(self, texts: list[np.ndarray], labels: np.ndarray, steps: int = 400, batch: int = 64, rate: float = 0.01, seed: int = 11) -> ByteConvNet:
         """Adam on the logistic loss; only the window with the largest response gets a gradient."""
         rng, step = np.random.default_rng(seed), 0
         first = {k: np.zeros_like(v) for k, v in self.values.items()}
         second = {k: np.zeros_like(v) for k, v in self.values.items()}
-        for _ in range(epochs):
+        while step < steps:
             order = rng.permutation(len(texts))
-            for at in range(0, len(order), batch):
+            for at in range(0, min(len(order), (steps - step) * batch), batch):
                 some = order[at : at + batch]
                 step += 1
                 for name, gradient in self._gradient([texts[i] for i in some], labels[some]).items():
