@@ -223,7 +223,8 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, with_ids: bool = Fal
     for row in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most ``size`` rows
         histogram[row["length"]] = row["n"]
     places = docs.sparkSession.sparkContext.broadcast(Places(plan_bins(histogram, size, search_nodes)))
-    numbered = cut.join(counts.select("task", "length", "before"), ["task", "length"])
+    # the counts grow with the tasks, so they are never broadcast
+    numbered = cut.join(counts.select("task", "length", "before").hint("merge"), ["task", "length"])
     numbered = numbered.select(
         *[c for c in cut.columns if c not in ("number", "task")], (F.col("number") + F.col("before")).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
     )
