@@ -25,31 +25,41 @@ BITS = 64
 BUDGET = 4
 SEED = 42
 DIRECT = 64  # node pairs with this many pairs of leaves at most are compared at once
+DIRECT_AT_ONCE = 1 << 20
 FRONTIER = 400_000  # node pairs held at once; the rest waits on a stack
 
 
-def fingerprint(text: str, words_per_shingle: int = 4) -> int:
-    """SimHash of the lower-cased (A-Z) text's word shingles, repeats included; zero without words."""
+def shingle_hashes(text: str, words_per_shingle: int) -> np.ndarray:
+    """XXH64 of each word shingle of the lower-cased (A-Z) text, repeats included; of the whole, if it has fewer words."""
     import xxhash
 
     words = text.encode("utf-8", "surrogatepass").lower().split()  # splits at ASCII white space only
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     digest = xxhash.xxh64_intdigest
-    if len(words) <= words_per_shingle:
-        return digest(b" ".join(words), SEED)
     joined = b" ".join(words)
+    if len(words) <= words_per_shingle:
+        return np.array([digest(joined, SEED)], np.uint64)
     size = np.fromiter(map(len, words), np.int64, len(words))
     end = np.cumsum(size + 1) - 1
-    start = (end - size)[: 1 - words_per_shingle].tolist()
+    start = (end - size)[: 1 - words_per_shingle].tolist() if words_per_shingle > 1 else (end - size).tolist()
     end = end[words_per_shingle - 1 :].tolist()
-    hashes = np.fromiter([digest(joined[a:b], SEED) for a, b in zip(start, end, strict=True)], np.uint64, len(start))
+    return np.fromiter([digest(joined[a:b], SEED) for a, b in zip(start, end, strict=True)], np.uint64, len(start))
+
+
+def majority(hashes: np.ndarray) -> np.uint64:
+    """The bits that are set in over half of the hashes."""
     ones = np.zeros(BITS, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        rows = hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(rows, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = ones * 2 > len(hashes)
-    return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
+    for at in range(0, len(hashes), 1 << 15):
+        rows = hashes[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(rows, axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0]
+
+
+def fingerprint(text: str, words_per_shingle: int = 4) -> int:
+    """SimHash of the text's word shingles; zero without words."""
+    hashes = shingle_hashes(text, words_per_shingle)
+    return int(majority(hashes)) if len(hashes) else 0
 
 
 def fingerprints(docs: DataFrame, words_per_shingle: int = 4) -> DataFrame:
@@ -97,11 +107,14 @@ class Forest:
             np.minimum.at(self.parent, np.maximum(a, b), np.minimum(a, b))
 
 
-def trie_links(codes: np.ndarray, depth: int, budget: int = BUDGET) -> np.ndarray:
-    """Per code (sorted, distinct, uint64) a place in its tree of the forest of links.
+def trie_links(codes: np.ndarray, depth: int, budget: int = BUDGET, head: int = BITS, passes: tuple[int, ...] | None = None, near=None) -> np.ndarray:
+    """Per code (sorted uint64) a place in its tree of the forest of links.
 
-    Codes that differ in their upper ``depth`` bits are never paired here.
+    Codes that differ in their upper ``depth`` bits are never paired here. ``budget`` holds for the first ``head`` bits,
+    and each of ``passes`` (1 to ``budget``) allows so many differing bits in all. Leaves link if ``near(a, b, allowed)``
+    says so of their places; that is, if their codes differ in ``allowed`` bits at most.
     """
+    near = near or (lambda a, b, allowed: np.bitwise_count(codes[a] ^ codes[b]) <= allowed)
     size = len(codes)
     forest = Forest(size)
     top = codes >> np.uint64(BITS - depth)
@@ -110,7 +123,7 @@ def trie_links(codes: np.ndarray, depth: int, budget: int = BUDGET) -> np.ndarra
     more = past - first > 1
     first, past = first[more], past[more]
     ones: dict[int, np.ndarray] = {}
-    for allowed in range(1, budget + 1):
+    for allowed in passes or range(1, budget + 1):
         label = forest.flatten()
         change = np.flatnonzero(label[1:] != label[:-1]) + 1  # where a run of one label ends
         run = np.r_[change, size][np.searchsorted(change, np.arange(size), side="right")]
@@ -121,7 +134,7 @@ def trie_links(codes: np.ndarray, depth: int, budget: int = BUDGET) -> np.ndarra
             small = (hi - lo) * (hi2 - lo2) <= DIRECT
             if at == BITS:
                 small |= True
-            _direct(codes, forest, allowed, *(x[small & ~settled] for x in (lo, hi, lo2, hi2)))
+            _direct(forest, allowed, near, *(x[small & ~settled] for x in (lo, hi, lo2, hi2)))
             rest = ~small & ~settled
             lo, hi, lo2, hi2, spent = (x[rest] for x in (lo, hi, lo2, hi2, spent))
             if not len(lo):
@@ -134,25 +147,30 @@ def trie_links(codes: np.ndarray, depth: int, budget: int = BUDGET) -> np.ndarra
             parts = [(lo, mid, lo2, mid2, spent), (mid, hi, mid2, hi2, spent), (lo, mid, mid2, hi2, spent + 1)]
             parts.append(tuple(x[~own] for x in (mid, hi, lo2, mid2, spent + 1)))
             lo, hi, lo2, hi2, spent = (np.concatenate(x) for x in zip(*parts, strict=True))
-            keep = (hi > lo) & (hi2 > lo2) & (spent <= allowed) & ~((lo == lo2) & (hi - lo == 1))
+            keep = (hi > lo) & (hi2 > lo2) & (spent <= (min(allowed, budget) if at < head else allowed)) & ~((lo == lo2) & (hi - lo == 1))
             below = [x[keep] for x in (lo, hi, lo2, hi2, spent)]
             for cut in range(0, len(below[0]), FRONTIER):
                 stack.append((at + 1, *(x[cut : cut + FRONTIER] for x in below)))
     return forest.flatten()
 
 
-def _direct(codes, forest, allowed, lo, hi, lo2, hi2) -> None:
-    """Compares all leaves of small node pairs."""
-    wide, wide2 = hi - lo, hi2 - lo2
-    area = wide * wide2
-    if not len(area):
-        return
-    pair = np.repeat(np.arange(len(area)), area)
-    place = np.arange(int(area.sum())) - np.repeat(np.cumsum(area) - area, area)
-    a, b = lo[pair] + place // wide2[pair], lo2[pair] + place % wide2[pair]
-    near = np.bitwise_count(codes[a] ^ codes[b]) <= allowed
-    near &= a != b
-    forest.link(a[near], b[near])
+def _direct(forest, allowed, near, lo, hi, lo2, hi2) -> None:
+    """Compares all leaves of small node pairs, some million at a time; of a node with itself each pair once."""
+    area = (hi - lo) * (hi2 - lo2)
+    past = np.cumsum(area)
+    at = 0
+    while at < len(area):
+        end = max(at + 1, int(np.searchsorted(past, (past[at - 1] if at else 0) + DIRECT_AT_ONCE, side="right")))
+        some = area[at:end]
+        pair = np.repeat(np.arange(at, end), some)
+        place = np.arange(int(some.sum())) - np.repeat(np.cumsum(some) - some, some)
+        wide2 = (hi2 - lo2)[pair]
+        a, b = lo[pair] + place // wide2, lo2[pair] + place % wide2
+        once = a < b if np.array_equal(lo, lo2) else (a != b) & ((lo != lo2)[pair] | (a < b))
+        a, b = a[once], b[once]
+        close = near(a, b, allowed)
+        forest.link(a[close], b[close])
+        at = end
 
 
 def turn(codes: np.ndarray, mask: int) -> tuple[np.ndarray, int]:
@@ -206,6 +224,16 @@ def links(distinct: DataFrame, budget: int = BUDGET, rows_at_once: int = 60_000)
     return rows.mapInArrow(run, "a long, b long")
 
 
+def classed(marked: DataFrame, edges: DataFrame) -> DataFrame:
+    """``marked`` (doc_id, text_key, fp) with component, component_id and n_documents; ``edges`` (a, b) join values of fp."""
+    ids = marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    labels = connected_components(stored(edges, "simhash-links"), "a", "b").withColumnRenamed("node", "fp")
+    classes = ids.join(labels, "fp", "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("component"))
+    named = stored(classes, "simhash-classes")
+    groups = named.groupBy("component").agg(F.min("least").alias("component_id"), F.sum("n").alias("n_documents"))
+    return marked.join(named.select("fp", "component").join(groups, "component"), "fp")
+
+
 def near_duplicates(docs: DataFrame, budget: int = BUDGET, words_per_shingle: int = 4) -> DataFrame:
     """One row per document: doc_id, text_key, fingerprint, component_id and the rows of its component.
 
@@ -214,23 +242,122 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET, words_per_shingle: in
     components apart even where ids repeat. Columns of ``docs`` beyond doc_id and text are not read.
     """
     marked = stored(fingerprints(docs, words_per_shingle), "simhash")
-    ids = marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
-    labels = connected_components(links(ids.select("fp"), budget), "a", "b").withColumnRenamed("node", "fp")
-    classes = ids.join(labels, "fp", "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("component"))
-    named = stored(classes, "simhash-classes")
-    groups = named.groupBy("component").agg(F.min("least").alias("component_id"), F.sum("n").alias("n_documents"))
-    by_fp = named.select("fp", "component").join(groups, "component")
-    return marked.join(by_fp, "fp").select(
+    return classed(marked, links(marked.select("fp").distinct(), budget)).select(
         "doc_id", "text_key", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component", "n_documents"
     )
 
 
-def keep_one(docs: DataFrame, budget: int = BUDGET, words_per_shingle: int = 4) -> DataFrame:
-    """One document of each component of near copies, that with the smallest doc_id; columns of ``docs``.
+# Similarity of 0.8 in shingles leaves a seventh of all fingerprint bits different, far beyond what a budget of a few
+# bits in 64 can find. For that, a longer fingerprint of LANES x 63 bits is read as words of WORD_BITS, each with tries
+# of its own: copies agree in some word but for one bit. What meets there is compared over the whole fingerprint.
+LANES, WORD_BITS, WORDS_PER_LANE = 8, 21, 3
+WORD_BUDGET = 1
+LANE_MASK = (1 << (WORD_BITS * WORDS_PER_LANE)) - 1
+TAIL_BITS = BITS - WORD_BITS  # a word is followed by bits of the next lane, so that a crowded leaf goes on as a trie
+TAIL_PASSES = (1, 3, TAIL_BITS + 1)
+HALVES = ((WORD_BITS // 2 + 1, WORD_BITS // 2), (0, WORD_BITS // 2 + 1))  # (shift, width) of a word's two blocks
+
+
+def most_apart(similarity: float) -> int:
+    """Differing bits up to which two long fingerprints count as similar.
+
+    The expected number at this Jaccard similarity of equally long shingle sets, and two standard deviations.
+    """
+    bits = LANES * WORD_BITS * WORDS_PER_LANE
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(bits * share + 2 * np.sqrt(bits * share * (1 - share)))
+
+
+def long_fingerprint(text: str, words_per_shingle: int = 5) -> np.ndarray:
+    """LANES numbers of 63 bits; lane after lane from remixed shingle hashes. Zeros without words."""
+    hashes = shingle_hashes(text, words_per_shingle)
+    out = np.zeros(LANES, np.uint64)
+    for lane in range(LANES if len(hashes) else 0):
+        mixed = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15 + 2 * lane * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= np.uint64(0xD6E8FEB86659FD93)
+        out[lane] = majority(mixed ^ (mixed >> np.uint64(32))) & np.uint64(LANE_MASK)
+    return out
+
+
+def long_fingerprints(docs: DataFrame, words_per_shingle: int = 5) -> DataFrame:
+    """(doc_id, text_key, fp, lanes): ``lanes`` is an array of longs, ``fp`` a hash of it."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def mark(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lanes = [long_fingerprint(x, words_per_shingle).view(np.int64) for x in batch["text"].to_pylist()]
+        return pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_key"], pa.array(lanes, pa.list_(pa.int64()))], names=["doc_id", "text_key", "lanes"])
+
+    text = docs.select("doc_id", F.xxhash64(whole_text()).alias("text_key"), whole_text().alias("text"))
+    return text.mapInArrow(per_batch(mark), f"doc_id {kind}, text_key long, lanes array<long>").select("doc_id", "text_key", F.xxhash64("lanes").alias("fp"), "lanes")
+
+
+def long_links(distinct: DataFrame, similarity: float = 0.8, rows_at_once: int = 60_000) -> DataFrame:
+    """(a, b): a forest over distinct ``fp`` whose ``lanes`` differ in ``most_apart`` bits at most and meet in a word."""
+    apart = most_apart(similarity)
+    tries = []
+    for lane in range(LANES):
+        for word in range(WORDS_PER_LANE):
+            for half, (shift, width) in enumerate(HALVES):
+                top = F.shiftright(F.col("lanes")[lane], word * WORD_BITS + shift).bitwiseAND(F.lit((1 << width) - 1)).cast("int")
+                tries.append(F.struct(F.lit((lane * WORDS_PER_LANE + word) * 2 + half).alias("trie"), top.alias("top")))
+    rows = distinct.select("fp", "lanes", F.explode(F.array(*tries)).alias("t")).select("t.*", "fp", "lanes").repartition("trie", "top").sortWithinPartitions("trie", "top")
+
+    def solve(trie: int, fp: np.ndarray, lanes: np.ndarray):
+        lane, word, half = trie // 2 // WORDS_PER_LANE, trie // 2 % WORDS_PER_LANE, trie % 2
+        shift, width = HALVES[half]
+        value = (lanes[:, lane] >> np.uint64(word * WORD_BITS)) & np.uint64((1 << WORD_BITS) - 1)
+        turned = ((value << np.uint64(WORD_BITS - shift - width)) | (value >> np.uint64(shift + width))) & np.uint64((1 << WORD_BITS) - 1)
+        code = turned << np.uint64(TAIL_BITS) | lanes[:, (lane + 1) % LANES] & np.uint64((1 << TAIL_BITS) - 1)
+        order = np.argsort(code, kind="stable")
+        code, fp, columns = code[order], fp[order], np.ascontiguousarray(lanes[order].T)
+
+        def near(a, b, _):
+            bits = np.zeros(len(a), np.int64)
+            left = np.arange(len(a))
+            for i, column in enumerate(columns):
+                bits[left] += np.bitwise_count(column[a[left]] ^ column[b[left]])
+                if i % 3 == 2:
+                    left = left[bits[left] <= apart]
+            return bits <= apart
+
+        root = trie_links(code, width, WORD_BUDGET, WORD_BITS, TAIL_PASSES, near)
+        joined = np.flatnonzero(root != np.arange(len(root)))
+        return pa.RecordBatch.from_arrays([pa.array(fp[joined]), pa.array(fp[root[joined]])], names=["a", "b"])
+
+    def run(batches):
+        parts, held, last = [], 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            trie, top, fp = (batch[c].to_numpy() for c in ("trie", "top", "fp"))
+            lanes = batch["lanes"].flatten().to_numpy().view(np.uint64).reshape(-1, LANES)
+            cuts = np.flatnonzero((trie[1:] != trie[:-1]) | (top[1:] != top[:-1])) + 1
+            for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(fp)], strict=True):
+                if parts and (trie[a], top[a]) != last and (held >= rows_at_once or trie[a] != last[0]):
+                    yield solve(int(last[0]), *(np.concatenate(x) for x in zip(*parts, strict=True)))
+                    parts, held = [], 0
+                last = (trie[a], top[a])
+                parts.append((fp[a:b], lanes[a:b]))
+                held += b - a
+        if parts:
+            yield solve(int(last[0]), *(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5) -> DataFrame:
+    """As ``near_duplicates``, for documents whose shingle sets have this Jaccard similarity or more, as long fingerprints tell."""
+    marked = stored(long_fingerprints(docs, words_per_shingle), "simhash-long")
+    return classed(marked.drop("lanes"), long_links(marked.select("fp", "lanes").dropDuplicates(["fp"]), similarity))
+
+
+def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """One document of each component, that with the smallest doc_id; columns of ``docs``.
 
-    Rows that repeat its id within the component are copies too and go.
+    ``found`` is what ``near_duplicates`` or ``similar_documents`` says of ``docs``. Rows that repeat the id within the
+    component are copies too and go.
     """
-    found = near_duplicates(docs, budget, words_per_shingle)
     row = F.struct("doc_id", "text_key")
     chosen = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min(row).alias("_row"))
     marked = docs.withColumn("_row", F.struct("doc_id", F.xxhash64(whole_text()).alias("text_key")))
