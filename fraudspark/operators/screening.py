@@ -91,10 +91,10 @@ def recent_entities(tx: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
     return senders.union(receivers).distinct()
 
 
-def screen_entities(entities: DataFrame, watch: DataFrame, threshold: float = 0.5, top: int = 5) -> DataFrame:
+def screen_entities(entities: DataFrame, watch: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Best hit of each entity."""
     names = entities.select(F.col("entity").alias("query_id"), F.col("entity").alias("name"))
-    return screen_names(names, watch, threshold, top).filter("match_rank = 1").select(
+    return screen_names(names, watch, threshold, 1).select(
         F.col("query_id").alias("entity_name"), F.col("entity_id").alias("matched_entity_id"), "matched_name", "similarity"
     )
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fraudspark.functions import bands
-from fraudspark.operators import models, records, rules, scoring
+from fraudspark.operators import models, patterns, records, rules, scoring
 from fraudspark.operators.skew import micros
 from fraudspark.schemas import MODEL_FEATURES
 from fraudspark.session import ship_package
@@ -52,7 +52,7 @@ def _keyed(payments: DataFrame, key: str, processor: InOrder, output) -> DataFra
     party = "receiver_id" if key == "sender_id" else "sender_id"
     rows = payments.filter(F.col(key).isNotNull()).select(
         F.col(key).alias("key"), micros("event_time").alias("t"), "external_id", F.col(party).alias("party"),
-        F.col("amount").cast("double").alias("amount"), "transaction_type", "event_time",
+        F.col("amount").cast("double").alias("amount"), "transaction_type", "currency", "event_time",
     )
     return rows.groupBy("key").transformWithStateInPandas(processor, output, "Append", "EventTime")
 
@@ -85,19 +85,67 @@ def model_scores(raw: DataFrame, model_version: str = "baseline", threshold: flo
     return records.model_messages(answered)
 
 
-def match_rules_per_batch(payments: DataFrame, read_rules: Callable[[], DataFrame], out: str, checkpoint: str):
-    """Stream against changing rules: each batch is matched with the rules stored at that moment."""
+#: Runs over all that is there and stops. A continuous run takes {"processingTime": "60 seconds"}.
+ONCE = {"availableNow": True}
+
+
+def match_rules_per_batch(payments: DataFrame, read_rules: Callable[[], DataFrame], out: str, checkpoint: str, trigger: dict = ONCE, messages: str | None = None):
+    """Stream against changing rules: each batch is matched with the rules stored at that moment.
+
+    Matches carry their payment's time. They are appended to the table ``out``, and sent to the topic folder
+    ``messages`` where one is named.
+    """
     def handle(batch: DataFrame, batch_id: int) -> None:
-        stamp = F.col("event_time")
-        hits = rules.stream_matches(batch, rules.latest_versions(read_rules()), F.lit(None).cast("timestamp"))
-        times = batch.select("external_id", stamp.alias("matched_on"))
-        writers.append_batch(hits.drop("matched_at").join(times, "external_id"), out, batch_id)
+        batch = batch.persist()
+        try:
+            hits = rules.stream_matches(batch, rules.latest_versions(read_rules()), F.col("event_time"))
+            writers.append_batch(hits, out, batch_id)
+            if messages:
+                writers.write_messages(hits, messages, batch_id)
+        finally:
+            batch.unpersist()
+
+    return payments.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def pattern_rows(found: DataFrame) -> DataFrame:
+    """Alert rows (alert and audit text) of matches found on the stream."""
+    kind = lambda name: found.filter(F.col("pattern_type") == name).withColumn("detected_at", F.timestamp_micros("detected_us"))
+    money = lambda c: F.col(c).cast("decimal(18,4)")
+    return patterns.pattern_alerts(
+        kind("SMALL_TO_LARGE").select(
+            F.col("key").alias("matched_sender"), F.col("n").alias("small_count"), (money("total") / F.col("n")).alias("avg_small_amount"),
+            F.col("last_id").alias("large_txn"), money("last_amount").alias("large_amount"), "currency", "detected_at",
+        ),
+        kind("RAPID_ROUND_TRIP").select(
+            F.col("key").alias("matched_sender"), F.col("first_id").alias("outbound_txn"), money("first_amount").alias("out_amount"),
+            F.col("last_id").alias("inbound_txn"), money("last_amount").alias("in_amount"), F.col("party").alias("intermediary"), "currency", "detected_at",
+        ),
+        kind("VELOCITY_BURST").select(F.col("key").alias("matched_sender"), F.col("n").alias("burst_count"), money("total").alias("burst_total"), "currency", "detected_at"),
+        kind("DUPLICATE_INBOUND_AMOUNTS").select(F.col("key").alias("matched_receiver"), money("last_amount").alias("duplicate_amount"), "currency", "detected_at"),
+    )
+
 
-    return payments.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_patterns(by_sender: DataFrame, by_receiver: DataFrame, base: str, checkpoint: str, trigger: dict = ONCE) -> list:
+    """All four patterns to the alert topic and to the keyed pattern table; one query for senders, one for receivers."""
+    def sink(side: str):
+        def handle(batch: DataFrame, batch_id: int) -> None:
+            rows = pattern_rows(batch.persist())
+            try:
+                writers.write_messages(rows.drop("audit"), f"{base}/pattern_alerts/{side}", batch_id)
+                table = rows.drop("details").withColumnRenamed("audit", "details")
+                writers.upsert_table(table, f"{base}/patterns/{side}", ["pattern_type", "sender_id", "detected_at"], ["details"], batch_id + 1)
+            finally:
+                batch.unpersist()
+
+        return handle
+
+    sides = (("senders", sender_patterns(by_sender)), ("receivers", receiver_patterns(by_receiver)))
+    return [found.writeStream.foreachBatch(sink(side)).option("checkpointLocation", f"{checkpoint}/{side}").trigger(**trigger).start() for side, found in sides]
 
 
 def write_all_sinks(scored_batch: DataFrame, batch_id: int, base: str, stamp: Column) -> None:
-    """One scored batch to every sink. Computed once; each write may be repeated without effect."""
+    """One scored batch to the five sinks of scores. Computed once; each write may be repeated without effect."""
     scored_batch = scored_batch.persist()
     try:
         version = batch_id + 1
@@ -110,20 +158,36 @@ def write_all_sinks(scored_batch: DataFrame, batch_id: int, base: str, stamp: Co
         scored_batch.unpersist()
 
 
-def run_pipeline(raw: DataFrame, base: str, checkpoint: str, stamp: Callable[[], Column] = F.current_timestamp):
-    """Payload stream to parse, window count, score and all sinks, with recoverable progress."""
+def run_pipeline(raw: DataFrame, base: str, checkpoint: str, stamp: Callable[[], Column] = F.current_timestamp, trigger: dict = ONCE):
+    """Payload stream to parse, window count, score and the sinks of scores, with recoverable progress."""
     use_rocksdb(raw.sparkSession)
     scored = score_counted(with_window_count(records.parse_transactions(raw)))
     return (
         scored.writeStream.outputMode("append")
         .foreachBatch(lambda batch, batch_id: write_all_sinks(batch, batch_id, base, stamp()))
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        .option("checkpointLocation", checkpoint).trigger(**trigger).start()
     )
 
 
-def run_to_table(stream: DataFrame, out: str, checkpoint: str, output_mode: str = "append"):
-    """Runs a stream over all available input into Parquet files."""
+def run_all(
+    open_stream: Callable[[], DataFrame], read_rules: Callable[[], DataFrame], base: str, checkpoint: str,
+    stamp: Callable[[], Column] = F.current_timestamp, trigger: dict = ONCE,
+) -> list:
+    """Every insert of the pipeline: scores (5), rule matches (1), and four patterns as alerts and as table rows (8).
+
+    ``open_stream`` gives the payload stream anew for each query, since each keeps its own progress below ``checkpoint``.
+    """
+    parsed = lambda: records.parse_transactions(open_stream())
+    return [
+        run_pipeline(open_stream(), base, f"{checkpoint}/scores", stamp, trigger),
+        match_rules_per_batch(parsed(), read_rules, f"{base}/rule_matches_table", f"{checkpoint}/rules", trigger, f"{base}/rule_matches"),
+        *run_patterns(parsed(), parsed(), base, f"{checkpoint}/patterns", trigger),
+    ]
+
+
+def run_to_table(stream: DataFrame, out: str, checkpoint: str, output_mode: str = "append", trigger: dict = ONCE):
+    """Runs a stream into Parquet files."""
     return (
         stream.writeStream.outputMode(output_mode).format("parquet").option("path", out).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
+        .trigger(**trigger).start()
     )
