@@ -9,6 +9,7 @@ from fraudspark.plans.payments import ACTION_SQL, LEVEL_SQL, PARSED_CTE, SCORED,
 from fraudspark.plans.registry import query
 from fraudspark.plans.watch import _similar
 from fraudspark.schemas import MODEL_FEATURES
+from fraudspark.session import cut_lineage
 from fraudspark.sources import readers
 
 # --- graph -----------------------------------------------------------------------------------
@@ -230,7 +231,7 @@ def _(t):
     vectors = records.anomaly_row(_vectors(t))
     names = ["amount_log", *MODEL_FEATURES[1:]]
     forest = models.fit_forest(vectors, "kafka_offset", names)
-    scored = models.forest_score(vectors, forest, names)
+    scored = cut_lineage(models.forest_score(vectors, forest, names))  # scored once, read for the cut-off and the decision
     offset = scored.agg(F.percentile_approx("isolation", 0.95, 10_000)).scalar()
     return models.forest_decision(scored, offset).select("kafka_offset", "anomaly_score", "anomaly_raw", "is_anomaly")
 
@@ -306,7 +307,7 @@ KEYWORDS = "|".join(scoring.LOCAL_KEYWORDS)
 def _(t):
     tx = t.tx
     ids = tx.select(F.col("sender_id").alias("entity")).union(tx.select("receiver_id")).distinct()
-    matches = screening.screen_entities(ids, t.entity_names, 0.6, 3).select(F.col("entity_name").alias("entity_id"), "similarity")
+    matches = screening.screen_entities(ids, t.entity_names, 0.6).select(F.col("entity_name").alias("entity_id"), "similarity")
     scored = scoring.local_score(tx, matches, tx.agg(F.max("event_time")).scalar())
     return scored.select("external_id", F.round("risk_score", 2).alias("risk_score"), "risk_level", "recommended_action")
 

@@ -286,8 +286,3 @@ def _(t):
 @query("screen_entities", "SELECT query_id AS entity_name, entity_id AS matched_entity_id, matched_name, similarity FROM hits WHERE match_rank = 1", *_similar(ENTITY_SQL, 0.5, 5))
 def _(t):
     return screening.screen_entities(_recent(t), t.entity_names)
-
-
-@query("screen_ratio")
-def _(t):
-    return screening.screen_ratio(t.names, t.entity_names, 0.85)
