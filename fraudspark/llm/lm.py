@@ -28,12 +28,12 @@ from fraudspark.llm.common import fold, stored, whole_text
 WORD = 0  # the context of the word so far, in place of an order
 ORDERS = (1, 2, 3, 4, 5, WORD)
 WINDOW = max(ORDERS) + 1
-HASH_BITS = {1: 8, 2: 13, 3: 14, 4: 15, 5: 15, WORD: 16}  # contexts per order, as a power of two: the bound of the model's size
+HASH_BITS = {1: 8, 2: 14, 3: 15, 4: 16, 5: 16, WORD: 16}  # contexts per order, as a power of two: the bound of the model's size
 END = 0xFF  # never part of UTF-8
 STEPS = {3: (3.0,), 5: (1.0, 4.0, 30.0), WORD: (1.0, 3.0, 10.0, 60.0)}  # the gate: how often these contexts have been seen
 PRIOR = 0.05  # added to the count of either bit
 CELLS, REACH = 33, 8.0  # of the refinement, over log odds from -REACH to REACH
-CACHE_BITS = 21  # windows whose cost a task remembers
+CACHE_BITS = 22  # windows whose cost a task remembers
 FREQUENT = 200_000  # the most frequent words, at most so many, are broadcast with their counts
 LONGEST_FREQUENT = 64  # bytes of a broadcast word
 
@@ -41,7 +41,8 @@ MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 BLOCK = 1 << 18  # bytes of texts turned to windows at once, at least one text
-CHUNK = 1 << 22  # windows sorted at once
+CHUNK = 1 << 21  # windows sorted at once
+MERGED = 1 << 21  # distinct windows that are held between chunks
 
 _POWERS: list[np.ndarray] = []
 
@@ -105,6 +106,32 @@ def counted(texts: list[bytes]):
         yield np.unique(np.concatenate(held), return_counts=True)
 
 
+def merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct windows of several such lists, and the sums of their numbers."""
+    keys = np.concatenate([k for k, _ in parts])
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[first], np.add.reduceat(np.concatenate([n for _, n in parts])[order], first)
+
+
+def distinct_windows(batches):
+    """Distinct windows of all texts of a task and their numbers, in as few lists as ``MERGED`` allows."""
+    held, size, parts = [], 0, []
+    for batch in batches:
+        for texts in texts_of(batch):
+            held += texts
+            size += sum(map(len, texts))
+            if size >= CHUNK:
+                parts = [merge([*parts, *counted(held)])]
+                held, size = [], 0
+                if len(parts[0][0]) > MERGED:
+                    yield parts.pop()
+    if held:
+        parts = [merge([*parts, *counted(held)])]
+    yield from parts
+
+
 def word_hashes(data: np.ndarray) -> np.ndarray:
     """Per byte a hash of the letters between the last blank or mark and it; A-Z count as a-z.
 
@@ -132,36 +159,32 @@ def context(keys: np.ndarray, order: int) -> np.ndarray:
     return ((before * MULTIPLIER) >> np.uint64(64 - HASH_BITS[order])).astype(np.int64)
 
 
-class Counts:
-    """Occurrences of each byte after each hashed context, by order."""
+def slot_counts(keys: np.ndarray, times: np.ndarray):
+    """(order, slots, numbers): how often each byte followed each hashed context, of distinct windows and their numbers."""
+    byte = (keys & np.uint64(255)).astype(np.int64)
+    for k in ORDERS:
+        slot, n = merge([(context(keys, k) << 8 | byte, times)])
+        for at in range(0, len(slot), 200_000):
+            yield k, slot[at : at + 200_000], n[at : at + 200_000]
 
-    def __init__(self):
-        self.table = {k: np.zeros(256 << HASH_BITS[k], np.int64) for k in ORDERS}
 
-    def add(self, keys: np.ndarray, times: np.ndarray) -> None:
-        byte = (keys & np.uint64(255)).astype(np.int64)
-        for k, table in self.table.items():
-            np.add.at(table, context(keys, k) << 8 | byte, times)
-
-    def rows(self):
-        """(order, slot, n) of all that occurred."""
-        for k, table in self.table.items():
-            slot = np.flatnonzero(table)
-            for at in range(0, len(slot), 200_000):
-                part = slot[at : at + 200_000]
-                yield k, part, table[part]
+MOST = 60_000  # a context seen more often has its counts scaled down to about this many, none below one
 
 
 class Predictors:
-    """Cumulative counts over bytes, so that any range of bytes is a difference."""
+    """Cumulative counts over bytes, so that any range of bytes is a difference; two bytes of memory each."""
 
     def __init__(self, entries: dict[int, tuple[np.ndarray, np.ndarray]]):
-        self.below = {}
+        self.below, self.scale = {}, {}
         for k in ORDERS:
-            table = np.zeros((1 << HASH_BITS[k], 257), np.float32)
+            size = 1 << HASH_BITS[k]
+            table = np.zeros((size, 257), np.uint16)
             slot, n = entries.get(k, (np.zeros(0, np.int64), np.zeros(0)))
-            table[slot >> 8, (slot & 255) + 1] = n
-            self.below[k] = np.cumsum(table, axis=1, out=table)
+            row = slot >> 8
+            excess = np.maximum(np.bincount(row, n, size) / MOST, 1)
+            table[row, (slot & 255) + 1] = np.maximum(n / excess[row], 1)
+            self.below[k] = np.cumsum(table, axis=1, dtype=np.uint16, out=table)
+            self.scale[k] = (1 / excess).astype(np.float32)  # what one occurrence counts
 
     def odds(self, keys: np.ndarray, own: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Log odds (8 bits, orders, windows), gates and bits (8, windows); ``own`` occurrences are left out of the counts."""
@@ -173,16 +196,18 @@ class Predictors:
         prior = np.float32(PRIOR)
         for i, k in enumerate(ORDERS):
             below = self.below[k].reshape(-1)
-            row = context(keys, k) * 257
-            a, b = below[row], below[row + 256]
+            row = context(keys, k)
+            mine = self.scale[k][row] * np.float32(own)
+            row *= 257
+            a, b = below[row].astype(np.float32), below[row + 256].astype(np.float32)
             for d in range(8):
-                middle = below[row + (128 >> d) + (byte & ~((256 >> d) - 1))]
+                middle = below[row + (128 >> d) + (byte & ~((256 >> d) - 1))].astype(np.float32)
                 one = bits[d] == 1
                 ones, zeros = b - middle, middle - a
                 a, b = np.where(one, middle, a), np.where(one, b, middle)
                 if own:
-                    ones -= own * one
-                    zeros -= own * ~one
+                    ones -= mine * one
+                    zeros -= mine * ~one
                 if k in STEPS:
                     gates[d] = gates[d] * (len(STEPS[k]) + 1) + np.searchsorted(STEPS[k], ones + zeros, side="right")
                 x[d, i] = np.log((ones + prior) / (zeros + prior))
@@ -199,7 +224,7 @@ class Mixer:
     def __init__(self):
         self.weights = np.full((len(ORDERS), GATES), 0.3)
         self.squares = np.full((len(ORDERS), GATES), 1e-2)
-        self.cells = np.zeros((2, 256 * CELLS))
+        self.cells = np.zeros(256 * CELLS * 2)  # by node, cell and bit
         self.bits = 0.0
 
     @staticmethod
@@ -222,9 +247,10 @@ class Mixer:
         cell, share = self._cell(mixed)
         at = self.node(bits) * CELLS + cell
         heavy = np.broadcast_to(times.astype(np.float32), bits.shape)
-        for c, s in ((at, 1 - share), (at + 1, share)):
-            for bit in (0, 1):
-                self.cells[bit] += np.bincount(c.ravel(), (heavy * s * (bits == bit)).ravel(), 256 * CELLS)
+        at = (at << 1 | bits).ravel()
+        upper = (heavy * share).ravel()
+        self.cells += np.bincount(at, heavy.ravel() - upper, len(self.cells))
+        self.cells += np.bincount(at + 2, upper, len(self.cells))
         error = (bits - 1 / (1 + np.exp(-mixed))) * heavy
         flat = gates.ravel()
         total = np.bincount(flat, heavy.ravel(), GATES)
@@ -243,7 +269,8 @@ class Mixer:
     def refinement(self) -> np.ndarray:
         """Probability of a one per node and cell; where little was seen, that of the cell's log odds."""
         middle = np.tile(1 / (1 + np.exp(-(np.arange(CELLS) * (2 * REACH / (CELLS - 1)) - REACH))), 256)
-        return ((self.cells[1] + 8 * middle) / (self.cells.sum(axis=0) + 8)).astype(np.float32)
+        zeros, ones = self.cells[0::2], self.cells[1::2]
+        return ((ones + 8 * middle) / (zeros + ones + 8)).astype(np.float32)
 
     def cost(self, x, gates, bits, table: np.ndarray) -> np.ndarray:
         """Bits that each window's last byte costs."""
@@ -288,9 +315,9 @@ def training(docs: DataFrame) -> DataFrame:
     return docs.filter(~fold("doc_id", 7, 2)).select(whole_text().alias("text"))
 
 
-def texts_of(batch: pa.RecordBatch, rows: int = 1_000):
+def texts_of(batch: pa.RecordBatch, rows: int = 500):
     for at in range(0, batch.num_rows, rows):
-        yield [t.encode("utf-8", "surrogatepass") for t in batch["text"].slice(at, rows).to_pylist()]
+        yield batch["text"].slice(at, rows).cast(pa.binary()).to_pylist()
 
 
 def partial_counts(docs: DataFrame) -> DataFrame:
@@ -309,26 +336,27 @@ def partial_counts(docs: DataFrame) -> DataFrame:
             yield rows(WORDS, word=word, n=n)
 
     def count(batches):
-        counts, words, total, held, size = Counts(), Counter(), 0, [], 0
-        for batch in batches:
-            for texts in texts_of(batch):
-                total += len(texts)
-                for text in texts:
-                    words.update(text.lower().split())
-                if len(words) > 700_000:
-                    yield from words_out(words)
-                    words.clear()
-                held += texts
-                size += sum(map(len, texts))
-                if size >= CHUNK:
-                    for keys, times in counted(held):
-                        counts.add(keys, times)
-                    held, size = [], 0
-        for keys, times in counted(held):
-            counts.add(keys, times)
+        words, total, ready = Counter(), 0, []
+
+        def tapped():
+            nonlocal total
+            for batch in batches:
+                for texts in texts_of(batch):
+                    total += len(texts)
+                    for text in texts:
+                        words.update(text.lower().split())
+                    if len(words) > 400_000:
+                        ready.extend(words_out(words))
+                        words.clear()
+                yield batch
+
+        for keys, times in distinct_windows(tapped()):
+            yield from ready
+            ready.clear()
+            for kind, slot, n in slot_counts(keys, times):
+                yield rows(kind, slot=slot, n=n)
+        yield from ready
         yield from words_out(words)
-        for kind, slot, n in counts.rows():
-            yield rows(kind, slot=slot, n=n)
         if total:
             yield rows(TEXTS, n=[total])
 
@@ -366,23 +394,12 @@ def fitted_mixer(docs: DataFrame, entries: dict[int, tuple[np.ndarray, np.ndarra
     shared = docs.sparkSession.sparkContext.broadcast(Model(entries))
 
     def learn(batches):
-        predictors, mixer, held, size = unfolded(shared.value), Mixer(), [], 0
-
-        def take(texts):
-            for keys, times in counted(texts):
-                order = np.random.default_rng(len(keys)).permutation(len(keys))
-                for at in range(0, len(keys), 4_000):
-                    some = order[at : at + 4_000]
-                    mixer.learn(*predictors.odds(keys[some], 1), times[some])
-
-        for batch in batches:
-            for texts in texts_of(batch):
-                held += texts
-                size += sum(map(len, texts))
-                if size >= CHUNK:
-                    take(held)
-                    held, size = [], 0
-        take(held)
+        predictors, mixer = unfolded(shared.value), Mixer()
+        for keys, times in distinct_windows(batches):
+            order = np.random.default_rng(len(keys)).permutation(len(keys))
+            for at in range(0, len(keys), 4_000):
+                some = order[at : at + 4_000]
+                mixer.learn(*predictors.odds(keys[some], 1), times[some])
         if mixer.bits:
             values = np.concatenate([mixer.weights.ravel() * mixer.bits, mixer.cells.ravel(), [mixer.bits]])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values)], names=["place", "value"])
@@ -445,8 +462,9 @@ def score_texts(docs: DataFrame) -> DataFrame:
                 out = []
                 for text in texts:
                     words = text.lower().split()
-                    rare = Counter(w for w in words if w not in known)
-                    base = math.fsum(known[w] for w in words if w in known) + end_score
+                    scores = list(map(known.get, words))
+                    rare = Counter([w for w, s in zip(words, scores, strict=True) if s is None])
+                    base = math.fsum(filter(None, scores)) + end_score  # no score of a word is zero
                     out.append((row, len(words) + 1, len(words) - sum(rare.values()) + (ends > 0), base, list(rare), list(rare.values()), len(text)))
                     row += 1
                 columns = list(zip(*out, strict=True))

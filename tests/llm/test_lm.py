@@ -50,10 +50,8 @@ def test_base_against_counting(spark, frequent, monkeypatch):
 
 def model():
     texts = [t.encode() for _, t, *_ in rows() if t and len(t) < 1000]
-    counts = lm.Counts()
-    for keys, times in lm.counted(texts):
-        counts.add(keys, times)
-    entries = {k: (np.flatnonzero(t), t[np.flatnonzero(t)]) for k, t in counts.table.items()}
+    found = list(lm.slot_counts(*lm.merge(list(lm.counted(texts)))))
+    entries = {k: tuple(np.concatenate(x) for x in zip(*[(s, n) for o, s, n in found if o == k], strict=True)) for k in lm.ORDERS}
     predictors, mixer = lm.Predictors(entries), lm.Mixer()
     for keys, times in lm.counted(texts):
         for at in range(0, len(keys), 500):
