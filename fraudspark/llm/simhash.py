@@ -25,8 +25,8 @@ BITS = 64
 BUDGET = 4
 SEED = 42
 DIRECT = 64  # node pairs with this many pairs of leaves at most are compared at once
-DIRECT_AT_ONCE = 1 << 20
-FRONTIER = 400_000  # node pairs held at once; the rest waits on a stack
+DIRECT_AT_ONCE = 1 << 18
+FRONTIER = 100_000  # node pairs held at once; the rest waits on a stack
 
 
 def shingle_hashes(text: str, words_per_shingle: int) -> np.ndarray:
@@ -183,6 +183,15 @@ def turn(codes: np.ndarray, mask: int) -> tuple[np.ndarray, int]:
     return (codes << np.uint64(left)) | (codes >> np.uint64(BITS - left)), width
 
 
+def stars(names: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
+    """(a, b): each tree's members and its smallest name, as the edges of a star."""
+    least = names.copy()
+    np.minimum.at(least, root, names)
+    least = least[root]
+    apart = names != least
+    return pa.RecordBatch.from_arrays([pa.array(names[apart]), pa.array(least[apart])], names=["a", "b"])
+
+
 def links(distinct: DataFrame, budget: int = BUDGET, rows_at_once: int = 60_000) -> DataFrame:
     """(a, b): a forest that joins exactly the fingerprints joined by links, from distinct ``fp`` (long).
 
@@ -198,10 +207,7 @@ def links(distinct: DataFrame, budget: int = BUDGET, rows_at_once: int = 60_000)
             codes = np.unique(np.concatenate([c for t, c in parts if t == trie]))
             turned, depth = turn(codes, masks[trie])
             order = np.argsort(turned)
-            codes, root = codes[order], trie_links(turned[order], depth, budget)
-            joined = np.flatnonzero(root != np.arange(len(root)))
-            if len(joined):
-                yield pa.RecordBatch.from_arrays([pa.array(codes[joined].view(np.int64)), pa.array(codes[root[joined]].view(np.int64))], names=["a", "b"])
+            yield stars(codes[order].view(np.int64), trie_links(turned[order], depth, budget))
 
     def run(batches):
         parts, held = [], 0
@@ -322,8 +328,7 @@ def long_links(distinct: DataFrame, similarity: float = 0.8, rows_at_once: int =
             return bits <= apart
 
         root = trie_links(code, width, WORD_BUDGET, WORD_BITS, TAIL_PASSES, near)
-        joined = np.flatnonzero(root != np.arange(len(root)))
-        return pa.RecordBatch.from_arrays([pa.array(fp[joined]), pa.array(fp[root[joined]])], names=["a", "b"])
+        return stars(fp, root)
 
     def run(batches):
         parts, held, last = [], 0, None
