@@ -6,14 +6,17 @@ driver, which returns a plan: fillings (lengths side by side) and how many seque
 the places of their length by number, in parallel.
 
 The plan is a branch-and-bound search. Best-fit decreasing gives the incumbent. Then the longest remaining length is
-completed: the undominated fillings of the rest of its sequence are tried with least waste first, as often as their
-lengths last, and a branch ends when the waste so far leaves no room for fewer sequences than the incumbent has.
-The search stops at the lower bound, or after ``search_nodes`` nodes with the best plan found.
+completed: some fillings of the rest of its sequence are made greedily and tried first, then all undominated ones, each
+from as often as its lengths last down to once. A branch ends when the waste so far leaves no room for fewer sequences
+than the incumbent has. The search stops at the lower bound, when nothing is left to try (the plan is then an optimum),
+or with the best plan found after ``search_nodes`` nodes or ``search_steps`` steps of listing fillings.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -73,7 +76,7 @@ def best_fit(counts: np.ndarray, size: int) -> list[Run]:
 
 
 def fillings(counts: np.ndarray, room: int, choices: int) -> list[tuple[int, ...]]:
-    """Undominated ways to fill ``room``, least waste first, of at most ``choices``.
+    """Greedy ways to fill ``room``, least waste first, at most ``choices``: what is tried before ``completions``.
 
     Each starts with one available length and goes on with the longest that fits. A filling goes if another one
     has at each place a length as long or longer.
@@ -106,37 +109,88 @@ def fillings(counts: np.ndarray, room: int, choices: int) -> list[tuple[int, ...
     return kept
 
 
-def plan_bins(counts: np.ndarray, size: int, search_nodes: int = 4000, choices: int = 4) -> list[Run]:
+def completions(counts: np.ndarray, room: int, spare: Callable[[], int], steps: list[int]) -> Iterator[tuple[int, ...]]:
+    """All undominated ways to fill ``room`` with a waste of ``spare()`` at most, longest lengths first.
+
+    A filling is dominated if a length that is left fits in, or fits in place of a shorter one: whatever has at each place
+    a length as long or longer is reached by one such exchange. ``steps`` counts down; at zero the list ends early.
+    """
+    have = np.flatnonzero(counts[: room + 1]).tolist()
+    number = [int(counts[x]) for x in have]
+    upto = np.r_[0, np.cumsum(np.array(have, np.int64) * np.array(number, np.int64))].tolist()  # tokens of the shortest lengths
+
+    def dominated(chosen: list[tuple[int, int]], rest: int) -> bool:
+        used = dict(chosen)
+        for a in (0, *used):
+            at = bisect_right(have, a)
+            while at < len(have) and have[at] <= a + rest:
+                if used.get(have[at], 0) < number[at]:
+                    return True
+                at += 1
+        return False
+
+    def fill(past: int, rest: int, chosen: list[tuple[int, int]]) -> Iterator[tuple[int, ...]]:
+        for at in range(min(past, bisect_right(have, rest)) - 1, -1, -1):
+            if rest - upto[at + 1] > spare() or steps[0] <= 0:
+                break
+            for n in range(min(number[at], rest // have[at]), 0, -1):
+                steps[0] -= 1
+                yield from fill(at, rest - n * have[at], [*chosen, (have[at], n)])
+        if rest <= spare() and not dominated(chosen, rest):
+            yield tuple(x for x, n in chosen for _ in range(n))
+
+    yield from fill(len(have), room, [])
+
+
+def plan_bins(counts: np.ndarray, size: int, search_nodes: int = 4000, choices: int = 4, search_steps: int = 1_000_000) -> list[Run]:
     """Fillings and their numbers for all pieces; ``counts`` is indexed by length, 0 to ``size``."""
     counts = counts.astype(np.int64)
     best = best_fit(counts, size)
     fewest, least = sum(n for _, n in best), lower_bound(counts, size)
     total = int(counts @ np.arange(size + 1))
-    stack: list[tuple[np.ndarray, tuple | None, int, int]] = [(counts, None, 0, 0)]
+    steps = [search_steps]
+
+    def branches(left: np.ndarray, path: tuple | None, used: int, waste: int, longest: int):
+        """What the longest length's sequences can be; each filling as often as it can, then less often."""
+        spare = lambda: (fewest - 1) * size - total - waste
+        rest = left.copy()
+        rest[longest] -= 1
+        greedy = fillings(rest, size - longest, choices)
+
+        def ways():
+            yield from greedy
+            yield from (way for way in completions(rest, size - longest, spare, steps) if way not in greedy)
+
+        for way in ways():
+            filling = (longest, *way)
+            lengths, each = np.unique(filling, return_counts=True)
+            over = size - sum(filling)
+            for times in range(int((left[lengths] // each).min()), 0, -1):
+                if times * over > spare():
+                    continue
+                after = left.copy()
+                after[lengths] -= each * times
+                yield after, (path, (filling, times)), used + times, waste + times * over
+
+    stack = [iter([(counts, None, 0, 0)])]
     nodes = 0
-    while stack and fewest > least and nodes < search_nodes:
-        left, path, used, waste = stack.pop()
+    while stack and fewest > least and nodes < search_nodes and steps[0] > 0:
+        state = next(stack[-1], None)
+        if state is None:
+            stack.pop()
+            continue
+        left, path, used, waste = state
         nodes += 1
         if waste > (fewest - 1) * size - total:
             continue
         longest = int(np.flatnonzero(left)[-1]) if left.any() else 0
-        if not longest:
-            if used < fewest:
-                best, fewest, at = [], used, path
-                while at:
-                    best.append(at[1])
-                    at = at[0]
-            continue
-        left[longest] -= 1
-        ways = fillings(left, size - longest, choices)
-        left[longest] += 1
-        for way in reversed(ways):
-            filling = (longest, *way)
-            lengths, each = np.unique(filling, return_counts=True)
-            times = int((left[lengths] // each).min())
-            after = left.copy()
-            after[lengths] -= each * times
-            stack.append((after, (path, (filling, times)), used + times, waste + times * (size - sum(filling))))
+        if longest:
+            stack.append(branches(left, path, used, waste, longest))
+        elif used < fewest:
+            best, fewest, at = [], used, path
+            while at:
+                best.append(at[1])
+                at = at[0]
     return best
 
 

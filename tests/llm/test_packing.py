@@ -53,6 +53,32 @@ def test_fewest_sequences(lengths):
     assert sum(n for _, n in plan) == fewest_bins(lengths, 20)
 
 
+def test_fillings_that_are_not_greedy_are_tried():
+    """1088+400+280+280 and 1068+340+320+320; greedy takes 400+340 after 1088. Also as a part of a larger plan."""
+    lengths = [1088, 1068, 400, 340, 320, 320, 280, 280]
+    for more in ([], [2048] * 50, [1500, 548] * 3):
+        plan = packing.plan_bins(np.bincount([*lengths, *more], minlength=2049), 2048)
+        assert sorted(x for f, n in plan for x in f * n) == sorted([*lengths, *more])
+        assert sum(n for _, n in plan) == sum([*lengths, *more]) // 2048
+
+
+def test_a_filling_may_follow_less_often_than_its_lengths_last():
+    rng = np.random.default_rng(1)
+    for _ in range(400):
+        lengths = rng.choice(rng.integers(3, 60, 4), 9)
+        plan = packing.plan_bins(np.bincount(lengths, minlength=101), 100, choices=1)
+        assert sum(n for _, n in plan) == fewest_bins(lengths.tolist(), 100)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 20), max_size=7), st.integers(1, 20))
+def test_completions_are_all_undominated_fillings(lengths, room):
+    subsets = {tuple(sorted(c, reverse=True)) for n in range(len(lengths) + 1) for c in itertools.combinations(lengths, n) if sum(c) <= room}
+    above = lambda a, b: a != b and len(a) <= len(b) and all(x <= y for x, y in zip(a, b, strict=False))
+    found = list(packing.completions(np.bincount(lengths, minlength=21), room, lambda: room, [10**6]))
+    assert len(found) == len(set(found)) and set(found) == {a for a in subsets if not any(above(a, b) for b in subsets)}
+
+
 def test_many_equal_lengths_need_no_more_than_the_bound():
     counts = np.zeros(2049, int)
     counts[[2048, 1500, 548, 700, 648]] = [1000, 300, 300, 80, 40]
