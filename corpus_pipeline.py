@@ -19,8 +19,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each component of near copies: five-word shingles, similarity 0.8 or more."""
-    return simhash.keep_one(docs, simhash.similar_documents(docs, similarity=0.8, words_per_shingle=5))
+    """Keeps the smallest doc_id of each component of near copies: five-word shingles, exact set similarity 0.8 or more."""
+    return simhash.keep_one(docs, simhash.verified_documents(docs, similarity=0.8, words_per_shingle=5))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

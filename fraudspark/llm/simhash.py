@@ -106,17 +106,36 @@ class Forest:
             a, b = a[apart], b[apart]
             np.minimum.at(self.parent, np.maximum(a, b), np.minimum(a, b))
 
-
-def trie_links(codes: np.ndarray, depth: int, budget: int = BUDGET, head: int = BITS, passes: tuple[int, ...] | None = None, near=None) -> np.ndarray:
+    def span(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``link``; returns those of the pairs that joined two trees, so pairs that are linked themselves."""
+        chosen = []
+        left = np.arange(len(a))
+        while len(left):
+            root = self.flatten()
+            high, low = np.maximum(root[a[left]], root[b[left]]), np.minimum(root[a[left]], root[b[left]])
+            apart = high != low
+            left, high, low = left[apart], high[apart], low[apart]
+            order = np.lexsort((low, high))
+            first = order[np.flatnonzero(np.r_[True, np.diff(high[order]) != 0])] if len(order) else order
+            self.parent[high[first]] = low[first]
+            chosen.append(left[first])
+        chosen = np.concatenate(chosen) if chosen else left
+        return a[chosen], b[chosen]
+
+
+def trie_links(codes: np.ndarray, depth: int, budget: int = BUDGET, head: int = BITS, passes: tuple[int, ...] | None = None, near=None, start: np.ndarray | None = None, spanning: list | None = None) -> np.ndarray:
     """Per code (sorted uint64) a place in its tree of the forest of links.
 
     Codes that differ in their upper ``depth`` bits are never paired here. ``budget`` holds for the first ``head`` bits,
     and each of ``passes`` (1 to ``budget``) allows so many differing bits in all. Leaves link if ``near(a, b, allowed)``
-    says so of their places; that is, if their codes differ in ``allowed`` bits at most.
+    says so of their places; that is, if their codes differ in ``allowed`` bits at most. ``start`` has trees that are
+    known before, as a place in its tree for each code; ``spanning`` gets the pairs of places that joined two trees.
     """
     near = near or (lambda a, b, allowed: np.bitwise_count(codes[a] ^ codes[b]) <= allowed)
     size = len(codes)
     forest = Forest(size)
+    if start is not None:
+        forest.parent = start.copy()
     top = codes >> np.uint64(BITS - depth)
     first = np.flatnonzero(np.r_[True, top[1:] != top[:-1]])
     past = np.r_[first[1:], size]
@@ -134,7 +153,7 @@ def trie_links(codes: np.ndarray, depth: int, budget: int = BUDGET, head: int =
             small = (hi - lo) * (hi2 - lo2) <= DIRECT
             if at == BITS:
                 small |= True
-            _direct(forest, allowed, near, *(x[small & ~settled] for x in (lo, hi, lo2, hi2)))
+            _direct(forest, allowed, near, spanning, *(x[small & ~settled] for x in (lo, hi, lo2, hi2)))
             rest = ~small & ~settled
             lo, hi, lo2, hi2, spent = (x[rest] for x in (lo, hi, lo2, hi2, spent))
             if not len(lo):
@@ -154,7 +173,7 @@ def trie_links(codes: np.ndarray, depth: int, budget: int = BUDGET, head: int =
     return forest.flatten()
 
 
-def _direct(forest, allowed, near, lo, hi, lo2, hi2) -> None:
+def _direct(forest, allowed, near, spanning, lo, hi, lo2, hi2) -> None:
     """Compares all leaves of small node pairs, some million at a time; of a node with itself each pair once."""
     area = (hi - lo) * (hi2 - lo2)
     past = np.cumsum(area)
@@ -169,7 +188,10 @@ def _direct(forest, allowed, near, lo, hi, lo2, hi2) -> None:
         once = a < b if np.array_equal(lo, lo2) else (a != b) & ((lo != lo2)[pair] | (a < b))
         a, b = a[once], b[once]
         close = near(a, b, allowed)
-        forest.link(a[close], b[close])
+        if spanning is None:
+            forest.link(a[close], b[close])
+        else:
+            spanning.append(forest.span(a[close], b[close]))
         at = end
 
 
@@ -255,28 +277,34 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET, words_per_shingle: in
 
 # Similarity of 0.8 in shingles leaves a seventh of all fingerprint bits different, far beyond what a budget of a few
 # bits in 64 can find. For that, a longer fingerprint of LANES x 63 bits is read as words of WORD_BITS, each with tries
-# of its own: copies agree in some word but for one bit. What meets there is compared over the whole fingerprint.
+# of its own: copies agree in some word but for one bit. What meets there is compared over the whole fingerprint, and is
+# a candidate, whose shingle sets can then be compared exactly.
 LANES, WORD_BITS, WORDS_PER_LANE = 8, 21, 3
 WORD_BUDGET = 1
 LANE_MASK = (1 << (WORD_BITS * WORDS_PER_LANE)) - 1
 TAIL_BITS = BITS - WORD_BITS  # a word is followed by bits of the next lane, so that a crowded leaf goes on as a trie
 TAIL_PASSES = (1, 3, TAIL_BITS + 1)
 HALVES = ((WORD_BITS // 2 + 1, WORD_BITS // 2), (0, WORD_BITS // 2 + 1))  # (shift, width) of a word's two blocks
+LIKELY, ESTIMATE, LOOSE = 0, 2, 4  # standard deviations beyond the expected bits: first candidates, an estimate alone, all candidates
 
 
-def most_apart(similarity: float) -> int:
-    """Differing bits up to which two long fingerprints count as similar.
+def most_apart(similarity: float, deviations: float) -> int:
+    """Differing bits up to which two long fingerprints are candidates.
 
-    The expected number at this Jaccard similarity of equally long shingle sets, and two standard deviations.
+    The expected number at this Jaccard similarity of equally long shingle sets, and ``deviations`` standard deviations.
     """
     bits = LANES * WORD_BITS * WORDS_PER_LANE
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(bits * share + 2 * np.sqrt(bits * share * (1 - share)))
+    return int(bits * share + deviations * np.sqrt(bits * share * (1 - share)))
 
 
-def long_fingerprint(text: str, words_per_shingle: int = 5) -> np.ndarray:
-    """LANES numbers of 63 bits; lane after lane from remixed shingle hashes. Zeros without words."""
-    hashes = shingle_hashes(text, words_per_shingle)
+def shingle_set(text: str, words_per_shingle: int) -> np.ndarray:
+    """The different shingle hashes in order."""
+    return np.unique(shingle_hashes(text, words_per_shingle))
+
+
+def long_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """LANES numbers of 63 bits of a shingle set; lane after lane from remixed shingle hashes. Zeros without shingles."""
     out = np.zeros(LANES, np.uint64)
     for lane in range(LANES if len(hashes) else 0):
         mixed = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15 + 2 * lane * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)
@@ -287,80 +315,147 @@ def long_fingerprint(text: str, words_per_shingle: int = 5) -> np.ndarray:
 
 
 def long_fingerprints(docs: DataFrame, words_per_shingle: int = 5) -> DataFrame:
-    """(doc_id, text_key, fp, lanes): ``lanes`` is an array of longs, ``fp`` a hash of it."""
+    """(doc_id, text_key, fp, lanes): ``lanes`` is an array of longs, ``fp`` a hash of the whole shingle set."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def mark(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lanes = [long_fingerprint(x, words_per_shingle).view(np.int64) for x in batch["text"].to_pylist()]
-        return pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_key"], pa.array(lanes, pa.list_(pa.int64()))], names=["doc_id", "text_key", "lanes"])
+        import xxhash
+
+        sets = [shingle_set(x, words_per_shingle) for x in batch["text"].to_pylist()]
+        lanes = [long_fingerprint(x).view(np.int64) for x in sets]
+        fp = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_key"], pa.array(fp), pa.array(lanes, pa.list_(pa.int64()))], names=["doc_id", "text_key", "fp", "lanes"])
 
     text = docs.select("doc_id", F.xxhash64(whole_text()).alias("text_key"), whole_text().alias("text"))
-    return text.mapInArrow(per_batch(mark), f"doc_id {kind}, text_key long, lanes array<long>").select("doc_id", "text_key", F.xxhash64("lanes").alias("fp"), "lanes")
+    return text.mapInArrow(per_batch(mark), f"doc_id {kind}, text_key long, fp long, lanes array<long>")
+
 
+def long_candidates(distinct: DataFrame, apart: int, spanning: bool, rows_at_once: int = 60_000) -> DataFrame:
+    """(a, b): pairs of ``fp`` whose ``lanes`` differ in ``apart`` bits at most and meet in a word; a < b.
 
-def long_links(distinct: DataFrame, similarity: float = 0.8, rows_at_once: int = 60_000) -> DataFrame:
-    """(a, b): a forest over distinct ``fp`` whose ``lanes`` differ in ``most_apart`` bits at most and meet in a word."""
-    apart = most_apart(similarity)
+    Of ``distinct`` (fp, lanes, tree), pairs of one ``tree`` are left out. With ``spanning``, each group of a trie reports
+    pairs that span its trees; without, every pair.
+    """
     tries = []
     for lane in range(LANES):
         for word in range(WORDS_PER_LANE):
             for half, (shift, width) in enumerate(HALVES):
                 top = F.shiftright(F.col("lanes")[lane], word * WORD_BITS + shift).bitwiseAND(F.lit((1 << width) - 1)).cast("int")
                 tries.append(F.struct(F.lit((lane * WORDS_PER_LANE + word) * 2 + half).alias("trie"), top.alias("top")))
-    rows = distinct.select("fp", "lanes", F.explode(F.array(*tries)).alias("t")).select("t.*", "fp", "lanes").repartition("trie", "top").sortWithinPartitions("trie", "top")
+    rows = distinct.select("fp", "lanes", "tree", F.explode(F.array(*tries)).alias("t")).select("t.*", "fp", "lanes", "tree").repartition("trie", "top").sortWithinPartitions("trie", "top")
 
-    def solve(trie: int, fp: np.ndarray, lanes: np.ndarray):
+    def solve(trie: int, fp: np.ndarray, lanes: np.ndarray, tree: np.ndarray):
         lane, word, half = trie // 2 // WORDS_PER_LANE, trie // 2 % WORDS_PER_LANE, trie % 2
         shift, width = HALVES[half]
         value = (lanes[:, lane] >> np.uint64(word * WORD_BITS)) & np.uint64((1 << WORD_BITS) - 1)
         turned = ((value << np.uint64(WORD_BITS - shift - width)) | (value >> np.uint64(shift + width))) & np.uint64((1 << WORD_BITS) - 1)
         code = turned << np.uint64(TAIL_BITS) | lanes[:, (lane + 1) % LANES] & np.uint64((1 << TAIL_BITS) - 1)
-        order = np.argsort(code, kind="stable")
-        code, fp, columns = code[order], fp[order], np.ascontiguousarray(lanes[order].T)
+        order = np.lexsort((tree, code))
+        code, fp, tree, columns = code[order], fp[order], tree[order], np.ascontiguousarray(lanes[order].T)
+        pairs = []
 
         def near(a, b, _):
-            bits = np.zeros(len(a), np.int64)
-            left = np.arange(len(a))
+            bits = np.where(tree[a] == tree[b], apart + 1, 0)
+            left = np.flatnonzero(bits == 0)
             for i, column in enumerate(columns):
                 bits[left] += np.bitwise_count(column[a[left]] ^ column[b[left]])
                 if i % 3 == 2:
                     left = left[bits[left] <= apart]
-            return bits <= apart
-
-        root = trie_links(code, width, WORD_BUDGET, WORD_BITS, TAIL_PASSES, near)
-        return stars(fp, root)
+            close = bits <= apart
+            if spanning:
+                return close
+            pairs.append((a[close], b[close]))
+            return np.zeros(len(a), bool)
+
+        first = np.unique(tree, return_index=True, return_inverse=True)
+        trie_links(code, width, WORD_BUDGET, WORD_BITS, TAIL_PASSES if spanning else TAIL_PASSES[-1:], near, first[1][first[2]], pairs if spanning else None)
+        for x, y in pairs:
+            if len(x):
+                x, y = fp[x], fp[y]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
     def run(batches):
         parts, held, last = [], 0, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            trie, top, fp = (batch[c].to_numpy() for c in ("trie", "top", "fp"))
+            trie, top, fp, tree = (batch[c].to_numpy() for c in ("trie", "top", "fp", "tree"))
             lanes = batch["lanes"].flatten().to_numpy().view(np.uint64).reshape(-1, LANES)
             cuts = np.flatnonzero((trie[1:] != trie[:-1]) | (top[1:] != top[:-1])) + 1
             for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(fp)], strict=True):
                 if parts and (trie[a], top[a]) != last and (held >= rows_at_once or trie[a] != last[0]):
-                    yield solve(int(last[0]), *(np.concatenate(x) for x in zip(*parts, strict=True)))
+                    yield from solve(int(last[0]), *(np.concatenate(x) for x in zip(*parts, strict=True)))
                     parts, held = [], 0
                 last = (trie[a], top[a])
-                parts.append((fp[a:b], lanes[a:b]))
+                parts.append((fp[a:b], lanes[a:b], tree[a:b]))
                 held += b - a
         if parts:
-            yield solve(int(last[0]), *(np.concatenate(x) for x in zip(*parts, strict=True)))
+            yield from solve(int(last[0]), *(np.concatenate(x) for x in zip(*parts, strict=True)))
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def verified(docs: DataFrame, marked: DataFrame, pairs: DataFrame, similarity: float, words_per_shingle: int) -> DataFrame:
+    """Those of ``pairs`` (a, b: values of fp) whose shingle sets have this Jaccard similarity; one text stands for its fp."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    named = marked.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("doc_id", "text_key")).alias("row"))
+    named = named.select("fp", F.col("row.doc_id").alias("id"), F.col("row.text_key").alias("text_key"))
+    texts = docs.select(F.col("doc_id").alias("id"), F.xxhash64(whole_text()).alias("text_key"), whole_text().alias("text"))
+    same = F.col("t.id").eqNullSafe(F.col("n.id")) & (F.col("t.text_key") == F.col("n.text_key"))
+    texts = texts.alias("t").join(named.alias("n"), same).select("n.fp", "t.text").dropDuplicates(["fp"])
+
+    def hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingle_set(x, words_per_shingle).tobytes() for x in batch["text"].to_pylist()]
+        return pa.RecordBatch.from_arrays([batch["fp"], pa.array(sets, pa.binary())], names=["fp", "shingles"])
+
+    sets = stored(texts.mapInArrow(per_batch(hashed), "fp long, shingles binary"), "simhash-sets")
+
+    def compared(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep = []
+        for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist(), strict=True):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+        return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    met = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
+    return stored(met.select("a", "b", "x", "y").mapInArrow(per_batch(compared), "a long, b long"), "simhash-verified")
 
 
 def similar_documents(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5) -> DataFrame:
-    """As ``near_duplicates``, for documents whose shingle sets have this Jaccard similarity or more, as long fingerprints tell."""
+    """As ``near_duplicates``, for documents whose shingle sets have about this Jaccard similarity, as long fingerprints tell.
+
+    An estimate: it takes pairs below ``similarity`` too. ``verified_documents`` compares the sets themselves.
+    """
     marked = stored(long_fingerprints(docs, words_per_shingle), "simhash-long")
-    return classed(marked.drop("lanes"), long_links(marked.select("fp", "lanes").dropDuplicates(["fp"]), similarity))
+    distinct = marked.select("fp", "lanes", F.col("fp").alias("tree")).dropDuplicates(["fp"])
+    return classed(marked.drop("lanes"), long_candidates(distinct, most_apart(similarity, ESTIMATE), True))
+
+
+def verified_documents(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5) -> DataFrame:
+    """As ``near_duplicates``, for documents whose shingle sets have this Jaccard similarity or more.
+
+    Long fingerprints give the candidates, and each is compared exactly. Likely pairs that span the groups come first, so
+    that a dense group is one tree before all pairs between different trees are listed under the looser bound.
+    """
+    marked = stored(long_fingerprints(docs, words_per_shingle), "simhash-long")
+    names = marked.drop("lanes")
+    distinct = marked.select("fp", "lanes").dropDuplicates(["fp"])
+
+    def links(known: DataFrame, deviations: float, spanning: bool) -> DataFrame:
+        pairs = stored(long_candidates(known, most_apart(similarity, deviations), spanning), "simhash-candidates")
+        return verified(docs, names, pairs, similarity, words_per_shingle)
+
+    likely = links(distinct.withColumn("tree", F.col("fp")), LIKELY, True)
+    trees = connected_components(likely, "a", "b").withColumnRenamed("node", "fp").withColumnRenamed("component", "tree")
+    known = stored(distinct.join(trees, "fp", "left").withColumn("tree", F.coalesce("tree", "fp")), "simhash-trees")
+    return classed(names, likely.unionByName(links(known, LOOSE, False)))
 
 
 def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
     """One document of each component, that with the smallest doc_id; columns of ``docs``.
 
-    ``found`` is what ``near_duplicates`` or ``similar_documents`` says of ``docs``. Rows that repeat the id within the
+    ``found`` is what ``near_duplicates``, ``similar_documents`` or ``verified_documents`` says of ``docs``. Rows that repeat the id within the
     component are copies too and go.
     """
     row = F.struct("doc_id", "text_key")

@@ -119,3 +119,29 @@ def test_long_fingerprints_find_similar_documents(spark):
     docs = spark.createDataFrame([(*r, "", "") for r in rows], SCHEMA)
     found = {r.doc_id: r.component for r in simhash.similar_documents(docs).collect()}
     assert same_partition([found[i] for i in range(len(rows))], group)
+
+
+def test_documents_below_the_similarity_stay_apart(spark):
+    """Set Jaccard of 0.72 to 0.79 is no link, also where fingerprints or counts of repeated shingles suggest it; 0.8 and more is."""
+    rng = random.Random(3)
+    vocabulary = [f"t{i}" for i in range(100_000)]
+    rows, wanted = [], []
+    for g in range(40):
+        words = rng.sample(vocabulary, 404)  # 400 shingles; a changed last stretch of n words leaves 400 - n of them
+        for changed in (0, 48 + g % 18 if g % 2 else 10 + g % 34):
+            rows.append((len(rows), " ".join(words[: 404 - changed] + rng.sample(vocabulary, changed))))
+            wanted.append(2 * g if g % 2 == 0 else len(rows) - 1)
+    phrase = " ".join(rng.sample(vocabulary, 60))
+    for end in range(2):  # alike by the many repeats of one phrase only
+        rows.append((len(rows), f"{phrase} " * 30 + " ".join(rng.sample(vocabulary, 60))))
+        wanted.append(len(rows) - 1)
+    docs = spark.createDataFrame([(*r, "", "") for r in rows], SCHEMA)
+    found = {r.doc_id: r.component_id for r in simhash.verified_documents(docs).collect()}
+    assert [found[i] for i in range(len(rows))] == wanted
+
+
+def test_spanning_pairs_are_links():
+    forest = simhash.Forest(6)
+    a, b = forest.span(np.array([0, 1, 2, 0, 4]), np.array([1, 2, 3, 3, 5]))
+    assert len(a) == 4 and set(zip(a.tolist(), b.tolist(), strict=True)) <= {(0, 1), (1, 2), (2, 3), (0, 3), (4, 5)}
+    assert forest.flatten().tolist() == [0, 0, 0, 0, 4, 4]
