@@ -124,14 +124,16 @@ def debug_transactions(
     """Full decision record of every payment: score waterfall, signals, rules, patterns, decision path.
 
     ``enrichments``: entity_id, enrichment_type, risk_score. ``rule_hits``: transaction_id, rule_name.
-    ``pattern_hits``: sender_id, pattern_type, detected_at.
+    ``pattern_hits``: sender_id, pattern_type, detected_at. ``cep_patterns`` and the decision path count all hits of the
+    sender; ``newest_patterns`` has the ``patterns_kept`` newest of them.
     """
     signals = enrichments.groupBy("entity_id").agg(F.count("*").alias("signals"))
     by_sender = signals.select(F.col("entity_id").alias("sender_id"), F.col("signals").alias("sender_signals"))
     by_payment = signals.select(F.col("entity_id").alias("external_id"), F.col("signals").alias("own_signals"))
     rules = by_either_key(rule_hits, tx).groupBy(F.col("parent_id").alias("id")).agg(F.count("*").alias("rule_matches"))
     kept = first_n(pattern_hits, ["sender_id"], [F.desc("detected_at"), F.col("pattern_type")], patterns_kept)
-    found = kept.groupBy("sender_id").agg(F.count("*").alias("cep_patterns"))
+    shown = kept.groupBy("sender_id").agg(F.array_sort(F.collect_list(F.struct("rn", "pattern_type", "detected_at"))).alias("newest_patterns"))
+    found = pattern_hits.groupBy("sender_id").agg(F.count("*").alias("cep_patterns")).join(shown, "sender_id", "left")
     score = scores.select(
         F.col("transaction_id").alias("id"), F.col("risk_score").cast("double").alias("stored_score"), F.col("risk_level").alias("stored_level"),
         *[F.col(c).cast("double").alias(c) for c in ("velocity_score", "sanctions_score", "pattern_score")],
@@ -191,7 +193,7 @@ def debug_transactions(
     )
     return built.select(
         F.col("external_id").alias("transaction_id"), "sender_id", "amount", "currency", "final_risk_score", "final_risk_level", "final_action",
-        "score_factors", "rule_matches", "cep_patterns", "enrichment_signals", path.alias("decision_path"),
+        "score_factors", "rule_matches", "cep_patterns", F.coalesce("newest_patterns", F.array()).alias("newest_patterns"), "enrichment_signals", path.alias("decision_path"),
     )
 
 

@@ -207,11 +207,15 @@ def alert_chain(alerts: DataFrame, tx: DataFrame, scores: DataFrame) -> DataFram
 
 
 def sar_packages(alerts: DataFrame, tx: DataFrame, scores: DataFrame, related: int = 20) -> DataFrame:
-    """Report package of every alert: subject, activity, counterparty, newest related payments, narrative seed."""
+    """Report package of every alert: subject, activity, counterparty, newest related payments, narrative seed.
+
+    ``related_count`` and the narrative speak of the payments shown, at most ``related``; ``related_total`` counts all.
+    """
     newest = first_n(tx, ["sender_id"], [F.desc("created_at"), F.col("id")], related)
     item = F.struct("rn", "id", "external_id", "receiver_id", "amount", "currency", "transaction_type", "created_at")
     per_sender = newest.groupBy("sender_id").agg(F.array_sort(F.collect_list(item)).alias("related_transactions"))
-    joined = alert_chain(alerts, tx, scores).join(per_sender, "sender_id", "left")
+    totals = tx.groupBy("sender_id").agg(F.count("*").alias("related_total"))
+    joined = alert_chain(alerts, tx, scores).join(per_sender, "sender_id", "left").join(totals, "sender_id", "left")
     count = F.greatest(F.coalesce(F.size("related_transactions"), F.lit(0)), F.lit(0))
     narrative = F.format_string(
         "Subject %s sent %s %s to %s. Risk score: %s (%s). Alert: %s. %s There are %d related transactions from this sender.",
@@ -225,5 +229,5 @@ def sar_packages(alerts: DataFrame, tx: DataFrame, scores: DataFrame, related: i
             F.col("tx_time").alias("date"), "amount", "currency", F.col("transaction_type").alias("type"), "risk_score", "risk_level", "risk_factors"
         ).alias("suspicious_activity"),
         F.struct(F.col("receiver_id").alias("name"), F.col("receiver_iban").alias("account_iban")).alias("counterparty"),
-        "related_transactions", count.alias("related_count"), narrative.alias("narrative_prompt"),
+        "related_transactions", count.alias("related_count"), F.coalesce("related_total", F.lit(0)).cast("long").alias("related_total"), narrative.alias("narrative_prompt"),
     )

@@ -230,6 +230,7 @@ def _(t):
     record = investigate.debug_transactions(tx, t.scores, t.enrichments, _executions(t), hits)
     triggered = F.size(F.filter("score_factors", lambda f: f["triggered"]))
     return record.select(
-        "transaction_id", "sender_id", "amount", "final_risk_score", "final_risk_level", "final_action", "rule_matches", "cep_patterns", "enrichment_signals",
-        triggered.alias("triggered"), F.size("decision_path").alias("path_length"),
+        "transaction_id", "sender_id", "amount", "final_risk_score", "final_risk_level", "final_action", "rule_matches",
+        F.size("newest_patterns").cast("long").alias("cep_patterns"),  # the SQL counts the patterns shown
+        "enrichment_signals", triggered.alias("triggered"), F.size("decision_path").alias("path_length"),
     )
