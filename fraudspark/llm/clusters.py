@@ -41,7 +41,7 @@ def first_centroids(kept: DataFrame, k: int, seed: int, scale: int) -> np.ndarra
     """The ``k`` vectors whose ids have the smallest hashes, in that order; equal ids by their components, null ids last."""
     mark = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")).cast("binary"), 256)
     rows = kept.orderBy(mark.asc_nulls_last(), "vector").limit(k).select("vector").collect()
-    return whole(np.array([r["vector"] for r in rows]).reshape(len(rows), -1), scale)
+    return whole(np.array([r["vector"] for r in rows]).reshape(len(rows), -1 if rows else 0), scale)
 
 
 def whole(values: np.ndarray, scale: int) -> np.ndarray:

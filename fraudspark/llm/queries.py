@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fraudspark.llm import ann, clusters, decontam, langid, lines, lm, packing, quality, secrets, simhash, warc
+from fraudspark.llm import ann, clusters, decontam, divergence, langid, lines, lm, packing, quality, secrets, simhash, warc
 from fraudspark.llm.common import table, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_clusters", clusters.ORACLE)
 def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.cluster(table(spark, sf_dir, "embeddings"), dimension=64, k=8, rounds=10, scale=1024, seed=3)
+
+
+@query("op12_divergence", divergence.ORACLE)
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), least_documents=10, most_terms=10)
