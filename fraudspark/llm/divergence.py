@@ -348,7 +348,7 @@ def _audit_block(key, sources: pa.Table, facts: pa.Table, most: int) -> pa.Table
             value = divergences(p[a][2], p[b][2]).sum()
             put(a, "pair", b.encode(), value)
             put(b, "pair", a.encode(), value)
-    if facts.num_rows and low == high:
+    if facts.num_rows and first and low == high:
         made = unpack(facts["hash"][0].as_py())
         q = np.zeros(length, np.int64)
         add_to(q, facts["slots"][0], facts["counts"][0])
