@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fraudspark.llm import ann, clusters, decontam, divergence, langid, lines, lm, packing, quality, secrets, simhash, warc
+from fraudspark.llm import ann, clusters, decontam, divergence, langid, lines, lm, packing, quality, secrets, simhash, toxicity, warc
 from fraudspark.llm.common import table, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,10 @@ def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_divergence", divergence.ORACLE)
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"), least_documents=10, most_terms=10)
+
+
+@query("op13_toxicity")
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), accept=0.7)
+    spelled = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return found.withColumn("spans", spelled)
