@@ -7,48 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fraudspark.operators.skew import running_balance
+from fraudspark.operators.selection import ROWS_AT_ONCE, counts_below, values_at_ranks
 
 # Fixed values of the drift report and of the advice on factors.
 PSI_BINS, PSI_FLOOR, PSI_MONITOR, PSI_ALERT = 10, 1e-6, 0.10, 0.20
 MIN_SAMPLES, LOW_PRECISION, HIGH_PRECISION = 20, 0.30, 0.85
 
 
-def _value_slices(values: DataFrame, group: str, value: str, pieces: int) -> DataFrame:
-    """Approximate quantiles per group, to cut its values into pieces of about equal count."""
-    shares = [i / pieces for i in range(1, pieces)]
-    return values.groupBy(group).agg(F.percentile_approx(value, shares, 10_000).alias("cuts"))
-
-
-def _in_slice(cuts: str, value: str) -> Column:
-    return F.size(F.filter(cuts, lambda c: c <= F.col(value))).cast("long")
-
-
-def values_at_ranks(values: DataFrame, ranks: DataFrame, group: str, value: str, pieces: int = 200) -> DataFrame:
-    """Exact values at 0-based ``rank`` positions of each group's sorted values.
-
-    ``ranks``: group, rank and any further columns. The values are cut into pieces by approximate
-    quantiles; the counts of the pieces tell which piece holds a rank, and only those pieces are sorted.
-    """
-    cuts = _value_slices(values, group, value, pieces)
-    counted = values.groupBy(group, value).agg(F.count("*").alias("n")).join(cuts, group).withColumn("slice", _in_slice("cuts", value))
-    per_slice = counted.groupBy(group, "slice").agg(F.sum("n").alias("n"))
-    earlier = Window.partitionBy(group).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    spans = per_slice.withColumn("start", F.coalesce(F.sum("n").over(earlier), F.lit(0))).withColumn("stop", F.col("start") + F.col("n"))
-    wanted = ranks.join(spans, group).filter((F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("stop"))).drop("n", "stop")
-    so_far = Window.partitionBy(group, "slice").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    needed = counted.select(group, "slice", value, "n").join(wanted.select(group, "slice").distinct(), [group, "slice"], "left_semi")
-    placed = needed.withColumn("upto", F.sum("n").over(so_far))
-    return (
-        wanted.join(placed, [group, "slice"])
-        .filter((F.col("rank") - F.col("start") >= F.col("upto") - F.col("n")) & (F.col("rank") - F.col("start") < F.col("upto")))
-        .select(*ranks.columns, value)
-    )
-
-
 def quantile_edges(baseline: DataFrame, group: str, value: str, bins: int = PSI_BINS) -> DataFrame:
     """Per group the sorted distinct nearest-rank edges: lowest value, ``bins - 1`` inner ones, highest value."""
-    totals = baseline.groupBy(group).agg(F.count("*").alias("total"))
+    totals = baseline.groupBy(group).agg(F.count(value).alias("total"))
     at = F.array(*[F.floor(F.lit(i) * F.col("total") / bins).cast("long") for i in range(bins)], F.col("total") - 1)
     ranks = totals.select(group, F.explode(F.array_distinct(at)).alias("rank"))
     edges = values_at_ranks(baseline, ranks, group, value).groupBy(group).agg(F.array_sort(F.collect_set(value)).alias("edges"))
@@ -63,10 +31,8 @@ def psi_bins(baseline: DataFrame, recent: DataFrame, group: str = "model_name",
     last = F.size("edges") - 1
     place = F.least(F.greatest(F.size(F.filter("edges", lambda e: e <= F.col(value))), F.lit(1)), last)
     counts = (
-        tagged.groupBy(group, "old", value).agg(F.count("*").alias("n")).join(edges, group).withColumn("bin", place)
-        .groupBy(group, "bin").agg(
-            F.sum(F.when(F.col("old") == 1, F.col("n")).otherwise(0)).alias("n_old"), F.sum(F.when(F.col("old") == 0, F.col("n")).otherwise(0)).alias("n_new")
-        )
+        tagged.filter(F.col(value).isNotNull()).join(edges, group).withColumn("bin", place)
+        .groupBy(group, "bin").agg(F.sum("old").alias("n_old"), F.sum(1 - F.col("old")).alias("n_new"))
     )
     all_bins = edges.select(group, "edges", F.explode(F.sequence(F.lit(1), last)).alias("bin"))
     whole = Window.partitionBy(group)
@@ -107,17 +73,15 @@ def recent_model_scores(model_scores: DataFrame, as_of: Column, hours: int = 24)
     return model_scores.filter(kept).select("model_name", F.col("model_score").alias("score"))
 
 
-def percentiles(errors: DataFrame, calibration: DataFrame, group: str = "model_name", value: str = "score", pieces: int = 200) -> DataFrame:
+def percentiles(
+    errors: DataFrame, calibration: DataFrame, group: str = "model_name", value: str = "score", pieces: int = 1, rows_at_once: int = ROWS_AT_ONCE
+) -> DataFrame:
     """Adds ``percentile``: the share of the group's calibration below the error, or a sigmoid without any.
 
     Shares are worked out once per distinct value and joined back.
     """
-    cuts = _value_slices(calibration, group, value, pieces)
-    sliced = lambda df: df.join(cuts, group).withColumn("slice", _in_slice("cuts", value)).drop("cuts")
-    points = sliced(errors.select(group, value).distinct())
-    deltas = sliced(calibration.groupBy(group, value).agg(F.count("*").alias("below")))
-    totals = calibration.groupBy(group).agg(F.count("*").alias("__total"))
-    counted = running_balance(points, deltas, [group], value, ["below"], inclusive=False).join(totals, group)
+    totals = calibration.groupBy(group).agg(F.count(value).alias("__total"))
+    counted = counts_below(errors, calibration, group, value, pieces, rows_at_once).join(totals, group)
     ranked = counted.select(group, value, (F.col("below") / F.col("__total")).alias("percentile"))
     fallback = 1.0 / (1.0 + F.exp(-(F.col(value) - 1.0)))
     return (
@@ -126,9 +90,15 @@ def percentiles(errors: DataFrame, calibration: DataFrame, group: str = "model_n
     )
 
 
+def sorted_errors(errors: DataFrame, group: str = "model_name", value: str = "score") -> DataFrame:
+    """The calibration file: each group's different errors with their numbers and first places in ascending order."""
+    found = counts_below(errors, errors, group, value)
+    return found.select(group, value, F.col("below").alias("first_place"), "n")
+
+
 def calibration_percentiles(errors: DataFrame, points: Sequence[float] = (0.05, 0.5, 0.95, 0.99), group: str = "model_name", value: str = "score") -> DataFrame:
     """Exact nearest-rank percentiles of each group as (group, point, value)."""
-    totals = errors.groupBy(group).agg(F.count("*").alias("total"))
+    totals = errors.groupBy(group).agg(F.count(value).alias("total"))
     wanted = F.array(*[
         F.struct(F.lit(p).alias("point"), F.least(F.floor(F.lit(p) * F.col("total")).cast("long"), F.col("total") - 1).alias("rank")) for p in points
     ])

@@ -4,13 +4,12 @@ The three ideas used across the package:
 
 * a key is always cut further by a slice of its order column, so that a group is (key, slice);
 * what must cross a slice border travels as one small row per slice (prefix sums, head rows);
-* a side is broadcast only after its size has been checked, and in pieces when it is larger.
+* a latest or first row per key is an aggregate or a limit before the shuffle, never a list.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from functools import reduce
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -110,29 +109,6 @@ def running_balance(
     return summed.filter("__point").drop("__point")
 
 
-def over_small_table(
-    big: DataFrame,
-    small: DataFrame,
-    rows: int,
-    apply_piece: Callable[[DataFrame, DataFrame], DataFrame],
-    spread_by: str,
-    limit: int = 5_000,
-) -> DataFrame:
-    """Union of ``apply_piece(big, piece)`` over pieces of ``small`` of proven size.
-
-    ``rows`` is the counted size of ``small``. Up to ``limit`` rows it is one piece; beyond that it is
-    split by hash, and each piece is applied to ``big`` in turn, so no broadcast grows with the table.
-    """
-    pieces = max(1, -(-rows // limit))
-    if pieces == 1:
-        return apply_piece(big, small)
-    numbered = small.withColumn("__piece", F.pmod(F.xxhash64(spread_by), F.lit(pieces)))
-    return reduce(
-        DataFrame.unionByName,
-        [apply_piece(big, numbered.filter(F.col("__piece") == i).drop("__piece")) for i in range(pieces)],
-    )
-
-
 def newest(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """One row per key, the greatest by ``order``: an aggregate with map-side combine, not a window."""
     rest = [c for c in df.columns if c not in keys]

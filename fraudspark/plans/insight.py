@@ -190,6 +190,29 @@ def _(t):
     return monitor.calibration_percentiles(t.calibration)
 
 
+@query("calibration_errors", "SELECT model_name, score, CAST(sum(n) OVER (PARTITION BY model_name ORDER BY score) - n AS BIGINT) AS first_place, n FROM (SELECT model_name, score, count(*) AS n FROM {calibration} GROUP BY ALL) x")
+def _(t):
+    return monitor.sorted_errors(t.calibration)
+
+
+# A model that answers with the mean vector of the row's label; rows of even ids are its calibration.
+REBUILT = """cells AS (SELECT vec_id, label, unnest(range(len(embedding))) AS place, unnest(embedding)::DOUBLE AS x FROM {embeddings}),
+  means AS (SELECT label, place, avg(x) AS m FROM cells GROUP BY ALL),
+  vae AS (SELECT vec_id, label % 2 AS model, avg((x - m) * (x - m)) AS error FROM cells JOIN means USING (label, place) GROUP BY ALL)"""
+
+
+@query("reconstruction_error", """SELECT a.vec_id, round(a.error, 6) AS reconstruction_error, round(count(*) FILTER (WHERE c.error < a.error) / count(*), 4) AS percentile,
+   count(*) FILTER (WHERE c.error < a.error) / count(*) >= 0.95 AS is_anomaly FROM vae a JOIN vae c ON c.model = a.model AND c.vec_id % 2 = 0 WHERE a.vec_id % 2 = 1 GROUP BY a.vec_id, a.error""", REBUILT)
+def _(t):
+    cells = t.embeddings.select("label", F.posexplode("embedding").alias("place", "x"))
+    means = cells.groupBy("label", "place").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    answers = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "m"))), lambda c: c["m"]).alias("reconstruction"))
+    rebuilt = t.embeddings.join(answers, "label").select("vec_id", F.col("embedding").alias("features"), "reconstruction", (F.col("label") % 2).cast("string").alias("model_name"))
+    errors = rebuilt.filter("vec_id % 2 = 0").select("model_name", models.reconstruction_error(F.col("features"), F.col("reconstruction")).alias("score"))
+    found = models.reconstruction_scores(rebuilt.filter("vec_id % 2 = 1"), errors)
+    return found.select("vec_id", F.round("reconstruction_error", 6).alias("reconstruction_error"), F.round("percentile", 4).alias("percentile"), "is_anomaly")
+
+
 @query("src_calibration", "SELECT model_name, score FROM {calibration}")
 def _(t):
     grouped = t.calibration.groupBy("model_name", "vec_id").agg(F.collect_list("score").alias("reconstruction_errors"))
