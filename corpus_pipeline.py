@@ -14,7 +14,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes lines that are on ten sources or more, but for their first place; documents left blank go."""
+    """Removes lines that are on ten sources or more, and those of 50 words on two, but for their first place; documents left blank go."""
     return lines.drop_furniture(docs, site="source", least_sites=10)
 
 
