@@ -22,7 +22,8 @@ END = "</w>"
 #: Printable ASCII, the usual white space, and Latin letters that have one lower-case form and no marks to compose.
 PLAIN = re.compile("[\t\n\r -~¡-įı-ňŊ-ž]*")
 
-CACHED = 800_000  # entries of each cache
+CACHED_BYTES = 96 << 20  # of each cache, entries counted with what they hold
+ENTRY_BYTES = 200  # of an entry beside its text and ids
 
 
 def byte_letters() -> dict[int, str]:
@@ -49,6 +50,7 @@ class Encoder:
         self.letters = byte_letters()
         self.parts: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.part_bytes = self.piece_bytes = 0
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -64,10 +66,12 @@ class Encoder:
             pass
         self._learn({w for w in words if w not in known})
         out = b"".join(map(known.__getitem__, words))
-        if len(known) > CACHED:
+        if self.part_bytes > CACHED_BYTES:
             known.clear()
-        if len(self.pieces) > CACHED:
+            self.part_bytes = 0
+        if self.piece_bytes > CACHED_BYTES:
             self.pieces.clear()
+            self.piece_bytes = 0
         return out
 
     def _learn(self, missing: set[str]) -> None:
@@ -83,9 +87,11 @@ class Encoder:
             data, at = ids.tobytes(), 0
             for piece, end in zip(new, past, strict=True):
                 self.pieces[piece] = data[4 * at : 4 * end]
+                self.piece_bytes += ENTRY_BYTES + len(piece) + 4 * (end - at)
                 at = end
         for word, pieces in cut.items():
-            self.parts[word] = b"".join(map(self.pieces.__getitem__, pieces))
+            ids = self.parts[word] = b"".join(map(self.pieces.__getitem__, pieces))
+            self.part_bytes += ENTRY_BYTES + len(word) + len(ids)
 
 
 _ENCODERS: dict[str, Encoder] = {}
