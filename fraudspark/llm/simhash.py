@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fraudspark.llm.common import per_batch, stored, whole_text
+from fraudspark.llm.common import per_batch, set_apart, stored, whole_text
 from fraudspark.operators.components import connected_components
 
 BITS = 64
@@ -288,12 +288,12 @@ HALVES = ((WORD_BITS // 2 + 1, WORD_BITS // 2), (0, WORD_BITS // 2 + 1))  # (shi
 LIKELY, ESTIMATE, LOOSE = 0, 2, 4  # standard deviations beyond the expected bits: first candidates, an estimate alone, all candidates
 
 
-def most_apart(similarity: float, deviations: float) -> int:
-    """Differing bits up to which two long fingerprints are candidates.
+def most_apart(similarity: float, deviations: float, lanes: int = LANES) -> int:
+    """Differing bits up to which so many lanes of two long fingerprints are candidates.
 
     The expected number at this Jaccard similarity of equally long shingle sets, and ``deviations`` standard deviations.
     """
-    bits = LANES * WORD_BITS * WORDS_PER_LANE
+    bits = lanes * WORD_BITS * WORDS_PER_LANE
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     return int(bits * share + deviations * np.sqrt(bits * share * (1 - share)))
 
@@ -330,26 +330,29 @@ def long_fingerprints(docs: DataFrame, words_per_shingle: int = 5) -> DataFrame:
     return text.mapInArrow(per_batch(mark), f"doc_id {kind}, text_key long, fp long, lanes array<long>")
 
 
-def long_candidates(distinct: DataFrame, apart: int, spanning: bool, rows_at_once: int = 60_000) -> DataFrame:
-    """(a, b): pairs of ``fp`` whose ``lanes`` differ in ``apart`` bits at most and meet in a word; a < b.
+def long_candidates(distinct: DataFrame, similarity: float, deviations: float, spanning: bool, rows_at_once: int = 60_000) -> DataFrame:
+    """(a, b): pairs of ``fp`` that meet in a word and whose ``lanes`` are as near as ``most_apart`` says; a < b.
 
     Of ``distinct`` (fp, lanes, tree), pairs of one ``tree`` are left out. With ``spanning``, each group of a trie reports
-    pairs that span its trees; without, every pair.
+    pairs that span its trees; without, every pair. A trie gets the lane of its word and the next one only, and compares
+    by these; pairs that pass fetch all lanes, once for each pair.
     """
+    apart = most_apart(similarity, deviations, 2)
     tries = []
     for lane in range(LANES):
         for word in range(WORDS_PER_LANE):
             for half, (shift, width) in enumerate(HALVES):
                 top = F.shiftright(F.col("lanes")[lane], word * WORD_BITS + shift).bitwiseAND(F.lit((1 << width) - 1)).cast("int")
-                tries.append(F.struct(F.lit((lane * WORDS_PER_LANE + word) * 2 + half).alias("trie"), top.alias("top")))
-    rows = distinct.select("fp", "lanes", "tree", F.explode(F.array(*tries)).alias("t")).select("t.*", "fp", "lanes", "tree").repartition("trie", "top").sortWithinPartitions("trie", "top")
+                own, following = F.col("lanes")[lane].alias("own"), F.col("lanes")[(lane + 1) % LANES].alias("following")
+                tries.append(F.struct(F.lit((lane * WORDS_PER_LANE + word) * 2 + half).alias("trie"), top.alias("top"), own, following))
+    rows = distinct.select("fp", "tree", F.explode(F.array(*tries)).alias("t")).select("t.*", "fp", "tree").repartition("trie", "top").sortWithinPartitions("trie", "top")
 
     def solve(trie: int, fp: np.ndarray, lanes: np.ndarray, tree: np.ndarray):
-        lane, word, half = trie // 2 // WORDS_PER_LANE, trie // 2 % WORDS_PER_LANE, trie % 2
+        word, half = trie // 2 % WORDS_PER_LANE, trie % 2
         shift, width = HALVES[half]
-        value = (lanes[:, lane] >> np.uint64(word * WORD_BITS)) & np.uint64((1 << WORD_BITS) - 1)
+        value = (lanes[:, 0] >> np.uint64(word * WORD_BITS)) & np.uint64((1 << WORD_BITS) - 1)
         turned = ((value << np.uint64(WORD_BITS - shift - width)) | (value >> np.uint64(shift + width))) & np.uint64((1 << WORD_BITS) - 1)
-        code = turned << np.uint64(TAIL_BITS) | lanes[:, (lane + 1) % LANES] & np.uint64((1 << TAIL_BITS) - 1)
+        code = turned << np.uint64(TAIL_BITS) | lanes[:, 1] & np.uint64((1 << TAIL_BITS) - 1)
         order = np.lexsort((tree, code))
         code, fp, tree, columns = code[order], fp[order], tree[order], np.ascontiguousarray(lanes[order].T)
         pairs = []
@@ -357,10 +360,8 @@ def long_candidates(distinct: DataFrame, apart: int, spanning: bool, rows_at_onc
         def near(a, b, _):
             bits = np.where(tree[a] == tree[b], apart + 1, 0)
             left = np.flatnonzero(bits == 0)
-            for i, column in enumerate(columns):
+            for column in columns:
                 bits[left] += np.bitwise_count(column[a[left]] ^ column[b[left]])
-                if i % 3 == 2:
-                    left = left[bits[left] <= apart]
             close = bits <= apart
             if spanning:
                 return close
@@ -380,7 +381,7 @@ def long_candidates(distinct: DataFrame, apart: int, spanning: bool, rows_at_onc
             if not batch.num_rows:
                 continue
             trie, top, fp, tree = (batch[c].to_numpy() for c in ("trie", "top", "fp", "tree"))
-            lanes = batch["lanes"].flatten().to_numpy().view(np.uint64).reshape(-1, LANES)
+            lanes = np.stack([batch[c].to_numpy().view(np.uint64) for c in ("own", "following")], axis=1)
             cuts = np.flatnonzero((trie[1:] != trie[:-1]) | (top[1:] != top[:-1])) + 1
             for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(fp)], strict=True):
                 if parts and (trie[a], top[a]) != last and (held >= rows_at_once or trie[a] != last[0]):
@@ -392,7 +393,10 @@ def long_candidates(distinct: DataFrame, apart: int, spanning: bool, rows_at_onc
         if parts:
             yield from solve(int(last[0]), *(np.concatenate(x) for x in zip(*parts, strict=True)))
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    met = rows.mapInArrow(run, "a long, b long").distinct()
+    side = lambda c: distinct.select(F.col("fp").alias(c), F.col("lanes").alias(f"lanes_{c}"))
+    bits = sum((F.bit_count(F.col("lanes_a")[i].bitwiseXOR(F.col("lanes_b")[i])) for i in range(LANES)), F.lit(0))
+    return met.join(side("a"), "a").join(side("b"), "b").filter(bits <= most_apart(similarity, deviations)).select("a", "b")
 
 
 def verified(docs: DataFrame, marked: DataFrame, pairs: DataFrame, similarity: float, words_per_shingle: int) -> DataFrame:
@@ -429,7 +433,7 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, words_per_shingl
     """
     marked = stored(long_fingerprints(docs, words_per_shingle), "simhash-long")
     distinct = marked.select("fp", "lanes", F.col("fp").alias("tree")).dropDuplicates(["fp"])
-    return classed(marked.drop("lanes"), long_candidates(distinct, most_apart(similarity, ESTIMATE), True))
+    return classed(marked.drop("lanes"), long_candidates(distinct, similarity, ESTIMATE, True))
 
 
 def verified_documents(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5) -> DataFrame:
@@ -443,7 +447,7 @@ def verified_documents(docs: DataFrame, similarity: float = 0.8, words_per_shing
     distinct = marked.select("fp", "lanes").dropDuplicates(["fp"])
 
     def links(known: DataFrame, deviations: float, spanning: bool) -> DataFrame:
-        pairs = stored(long_candidates(known, most_apart(similarity, deviations), spanning), "simhash-candidates")
+        pairs = stored(long_candidates(known, similarity, deviations, spanning), "simhash-candidates")
         return verified(docs, names, pairs, similarity, words_per_shingle)
 
     likely = links(distinct.withColumn("tree", F.col("fp")), LIKELY, True)
@@ -453,13 +457,13 @@ def verified_documents(docs: DataFrame, similarity: float = 0.8, words_per_shing
 
 
 def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """One document of each component, that with the smallest doc_id; columns of ``docs``.
+    """One document of each component, that with the smallest doc_id; columns of ``docs``, whatever their names.
 
     ``found`` is what ``near_duplicates``, ``similar_documents`` or ``verified_documents`` says of ``docs``. Rows that repeat the id within the
     component are copies too and go.
     """
     row = F.struct("doc_id", "text_key")
     chosen = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min(row).alias("_row"))
-    marked = docs.withColumn("_row", F.struct("doc_id", F.xxhash64(whole_text()).alias("text_key")))
-    kept = marked.join(chosen.select("_row").distinct(), "_row", "left_semi").dropDuplicates(["_row"])
-    return kept.select(*docs.columns)
+    packed, restore = set_apart(docs, "doc_id", "text")
+    marked = packed.withColumn("_row", F.struct("doc_id", F.xxhash64(whole_text()).alias("text_key")))
+    return restore(marked.join(chosen.select("_row").distinct(), "_row", "left_semi").dropDuplicates(["_row"]))
