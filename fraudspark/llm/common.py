@@ -41,6 +41,22 @@ def fold(held: str, divisor: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(F.col(held).cast("string")) % divisor == remainder, F.lit(False))
 
 
+def set_apart(docs: DataFrame, *needed: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with its other columns in one struct, and a function that brings them back, in their old order.
+
+    So a stage may name columns of its own as it likes, whatever columns the documents bring along.
+    """
+    own = [c for c in docs.columns if c in needed]
+    rest = [c for c in docs.columns if c not in needed]
+    named = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)]
+    packed = docs.select(*own, F.struct(F.lit(0).alias("none"), *named).alias("_rest"))
+
+    def restore(df: DataFrame) -> DataFrame:
+        return df.select(*[F.col(c) if c in own else F.col(f"_rest.c{rest.index(c)}").alias(c) for c in docs.columns])
+
+    return packed, restore
+
+
 def per_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch], rows: int = 500) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``fn`` over each batch, ``rows`` rows at a time so that little is held besides the batch itself."""
     def run(batches):

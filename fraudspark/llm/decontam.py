@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fraudspark.llm.common import UPPER, per_batch, whole_text
+from fraudspark.llm.common import UPPER, per_batch, set_apart, whole_text
 
 #: Letters are lower-cased, and all other ASCII bytes than letters and digits become spaces.
 FOLDED = bytes(
@@ -256,8 +256,11 @@ def decontaminate(
         index = batch.schema.get_field_index("text")
         return batch.set_column(index, batch.schema.field(index), pa.array(texts, batch.schema.field(index).type)).filter(pa.array(keep, pa.bool_()))
 
-    hits = scan_documents(docs, items, window, shard_words, cut)
-    return hits.select(*[F.when(F.col("_spans").isNull(), F.col(c)).otherwise(F.length(whole_text()).cast(docs.schema[c].dataType)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    packed, restore = set_apart(docs, "text", "n_chars")
+    hits = scan_documents(packed, items, window, shard_words, cut)
+    if "n_chars" in docs.columns:
+        hits = hits.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length(whole_text()).cast(docs.schema["n_chars"].dataType)))
+    return restore(hits)
 
 
 def without_spans(text: str, spans: list[list[int]]) -> str:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fraudspark.llm.common import fold, per_batch, whole_text
+from fraudspark.llm.common import fold, per_batch, set_apart, whole_text
 
 WIDTH, VECTOR, FILTERS = 6, 8, 16
 CHUNK = 512
@@ -195,5 +195,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT) -
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT) -> DataFrame:
-    """Documents that score ``accept`` or more, with the columns of ``docs``."""
-    return with_score(docs, train(docs, labels), "_quality").filter(F.col("_quality") >= accept).select(*docs.columns)
+    """Documents that score ``accept`` or more, with the columns of ``docs``, whatever their names."""
+    packed, restore = set_apart(docs, "text")
+    return restore(with_score(packed, train(docs, labels), "_quality").filter(F.col("_quality") >= accept))

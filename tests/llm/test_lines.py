@@ -62,3 +62,14 @@ def test_no_python_in_the_plan(spark, sf_dir, capsys):
 
     QUERIES["op6_lines"](spark, sf_dir).explain()
     assert "Python" not in (plan := capsys.readouterr().out) and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("sites", range(2, 10))
+def test_long_passages_on_few_sites_go(spark, sites):
+    passage = " ".join(f"word{i}" for i in range(55))
+    short = " ".join(f"word{i}" for i in range(40))
+    rows = [(i, f"own {i}\n{passage}\n{short}", f"s{i}", 0, "k") for i in range(sites)] + [(99, f"own\n{passage}x", "s0", 0, "k")]
+    kept = {r.doc_id: r.text for r in lines.drop_furniture(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert kept.pop(99) == f"own\n{passage}x"
+    assert kept.pop(0) == f"own 0\n{passage}\n{short}"
+    assert kept == {i: f"own {i}\n{short}" for i in range(1, sites)}
