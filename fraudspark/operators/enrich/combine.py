@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fraudspark.operators.skew import newest
@@ -38,6 +38,15 @@ def combined_score(df: DataFrame, scores: Sequence[str], geo: str = "geo_score")
     return df.withColumn("combined_risk_score", F.bround(total / F.greatest(F.size(present), F.lit(1)), 1))
 
 
+def entity_enrichments(enrichments: DataFrame) -> DataFrame:
+    """Per entity the number of its stored results and all of them, the newest first, with their place."""
+    place = F.row_number().over(Window.partitionBy("entity_id").orderBy(F.desc("created_at"), F.desc("id")))
+    rest = [c for c in enrichments.columns if c != "entity_id"]
+    placed = enrichments.withColumn("__place", place)
+    listed = F.array_sort(F.collect_list(F.struct(F.col("__place").alias("place"), *rest)))
+    return placed.groupBy("entity_id").agg(F.count("*").alias("enrichment_count"), listed.alias("enrichments"))
+
+
 def latest_enrichments(enrichments: DataFrame) -> DataFrame:
     """Newest row per entity and kind."""
     return newest(enrichments, ["entity_id", "enrichment_type"], ["created_at", "id"])

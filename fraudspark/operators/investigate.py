@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fraudspark.functions import bands
+from fraudspark.operators.enrich.combine import latest_enrichments
 from fraudspark.operators.reports import alert_chain
 from fraudspark.operators.skew import first_n, newest
 
@@ -89,10 +90,13 @@ def entity_stats(tx: DataFrame) -> DataFrame:
     )
 
 
-def entity_summary(tx: DataFrame, alerts: DataFrame, scores: DataFrame, profiles: DataFrame, devices: DataFrame) -> DataFrame:
-    """One card per entity: counts, average risk and its level, worst level, profile, devices.
+def entity_summary(
+    tx: DataFrame, alerts: DataFrame, scores: DataFrame, profiles: DataFrame, devices: DataFrame, enrichments: DataFrame
+) -> DataFrame:
+    """One card per entity: counts, average risk and its level, worst level, profile, devices, newest result of each enrichment.
 
-    ``devices``: user_id, device_hash, risk_level. Worst levels are ordinal maxima.
+    ``devices``: user_id, device_hash, risk_level. Worst levels are ordinal maxima. ``enrichments``: id, entity_id,
+    enrichment_type, risk_score, created_at; the card lists one of each type, by type.
     """
     counts = doubled(tx).groupBy("entity").agg(F.count("*").alias("transaction_count"))
     sent = tx.select(F.col("id").alias("transaction_id"), F.col("sender_id").alias("entity"))
@@ -104,8 +108,11 @@ def entity_summary(tx: DataFrame, alerts: DataFrame, scores: DataFrame, profiles
         F.countDistinct("device_hash").alias("device_count"), F.max(bands.level_rank(F.col("risk_level"))).alias("worst_device")
     )
     known = profiles.select(F.col("user_id").alias("entity"), "kyc_level", "pep_status")
+    result = F.struct(F.col("enrichment_type").alias("type"), "risk_score", "created_at")
+    enriched = latest_enrichments(enrichments).groupBy(F.col("entity_id").alias("entity")).agg(F.array_sort(F.collect_list(result)).alias("enrichments"))
     joined = (
         counts.join(alerted, "entity", "left").join(risk, "entity", "left").join(device, "entity", "left").join(known, "entity", "left")
+        .join(enriched, "entity", "left")
     )
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     average = F.coalesce(F.col("avg_risk"), F.lit(0.0))
@@ -114,7 +121,7 @@ def entity_summary(tx: DataFrame, alerts: DataFrame, scores: DataFrame, profiles
         bands.level_name(F.coalesce("worst", F.lit(1))).alias("max_risk_level"), zero("device_count").alias("device_count"),
         bands.level_name(F.coalesce("worst_device", F.lit(1))).alias("device_risk"), "transaction_count",
         zero("alert_count").alias("alert_count"), F.coalesce("kyc_level", F.lit("UNKNOWN")).alias("kyc_level"),
-        F.coalesce("pep_status", F.lit(False)).alias("pep_status"),
+        F.coalesce("pep_status", F.lit(False)).alias("pep_status"), F.coalesce("enrichments", F.array()).alias("enrichments"),
     )
 
 
@@ -123,14 +130,19 @@ def debug_transactions(
 ) -> DataFrame:
     """Full decision record of every payment: score waterfall, signals, rules, patterns, decision path.
 
-    ``enrichments``: entity_id, enrichment_type, risk_score. ``rule_hits``: transaction_id, rule_name.
-    ``pattern_hits``: sender_id, pattern_type, detected_at. ``cep_patterns`` and the decision path count all hits of the
-    sender; ``newest_patterns`` has the ``patterns_kept`` newest of them.
+    ``enrichments``: id, entity_id, enrichment_type, risk_score, created_at. ``rule_hits``: transaction_id, rule_name,
+    created_at. ``pattern_hits``: sender_id, pattern_type, detected_at. ``cep_patterns`` and the decision path count all
+    hits of the sender; ``newest_patterns`` has the ``patterns_kept`` newest of them. ``enrichments`` (of the payment and
+    its sender) and ``rules`` are listed in full, the newest first. Each list is made once for its owner, before it meets
+    the payments, so no payment is repeated per child.
     """
-    signals = enrichments.groupBy("entity_id").agg(F.count("*").alias("signals"))
-    by_sender = signals.select(F.col("entity_id").alias("sender_id"), F.col("signals").alias("sender_signals"))
-    by_payment = signals.select(F.col("entity_id").alias("external_id"), F.col("signals").alias("own_signals"))
-    rules = by_either_key(rule_hits, tx).groupBy(F.col("parent_id").alias("id")).agg(F.count("*").alias("rule_matches"))
+    when = lambda df: F.col("created_at") if "created_at" in df.columns else F.lit(None).cast("timestamp")
+    child = F.struct((-F.unix_micros(when(enrichments).cast("timestamp"))).alias("age"), F.col("enrichment_type").alias("type"), "risk_score", when(enrichments).alias("created_at"))
+    signals = enrichments.groupBy("entity_id").agg(F.count("*").alias("signals"), F.collect_list(child).alias("items"))
+    by_sender = signals.select(F.col("entity_id").alias("sender_id"), F.col("signals").alias("sender_signals"), F.col("items").alias("sender_items"))
+    by_payment = signals.select(F.col("entity_id").alias("external_id"), F.col("signals").alias("own_signals"), F.col("items").alias("own_items"))
+    hit = F.struct((-F.unix_micros(when(rule_hits).cast("timestamp"))).alias("age"), "rule_name", when(rule_hits).alias("matched_at"))
+    rules = by_either_key(rule_hits, tx).groupBy(F.col("parent_id").alias("id")).agg(F.count("*").alias("rule_matches"), F.array_sort(F.collect_list(hit)).alias("rules"))
     kept = first_n(pattern_hits, ["sender_id"], [F.desc("detected_at"), F.col("pattern_type")], patterns_kept)
     shown = kept.groupBy("sender_id").agg(F.array_sort(F.collect_list(F.struct("rn", "pattern_type", "detected_at"))).alias("newest_patterns"))
     found = pattern_hits.groupBy("sender_id").agg(F.count("*").alias("cep_patterns")).join(shown, "sender_id", "left")
@@ -194,6 +206,7 @@ def debug_transactions(
     return built.select(
         F.col("external_id").alias("transaction_id"), "sender_id", "amount", "currency", "final_risk_score", "final_risk_level", "final_action",
         "score_factors", "rule_matches", "cep_patterns", F.coalesce("newest_patterns", F.array()).alias("newest_patterns"), "enrichment_signals", path.alias("decision_path"),
+        F.array_sort(F.concat(F.coalesce("sender_items", F.array()), F.coalesce("own_items", F.array()))).alias("enrichments"), F.coalesce("rules", F.array()).alias("rules"),
     )
 
 

@@ -159,6 +159,16 @@ def training_labels(alerts: DataFrame, model_scores: DataFrame, as_of: Column, d
     )
 
 
+def retrain_gate(labels: DataFrame, minimum: int = 200) -> DataFrame:
+    """One row: whether a retraining may start, the reason if not, the number of labelled alerts and the number wanted."""
+    counted = labels.agg(F.countDistinct("alert_id").alias("n_labels"))
+    ready = F.col("n_labels") >= minimum
+    return counted.select(
+        F.when(ready, "retrain_started").otherwise("retrain_skipped").alias("event"), F.when(~ready, "insufficient_labels").alias("reason"),
+        "n_labels", F.lit(minimum).alias("min_samples"),
+    )
+
+
 def enough_labels(labels: DataFrame, minimum: int = 200) -> bool:
     """Whether a retraining may start."""
-    return labels.select("alert_id").distinct().limit(minimum).count() >= minimum
+    return retrain_gate(labels, minimum).head()["reason"] is None

@@ -133,14 +133,14 @@ def _(t):
     )
 
 
-@query("sar_package", """SELECT c.id AS alert_reference, sender_id AS subject, receiver_id AS counterparty, n AS related_count, ids AS related_ids,
+@query("sar_package", """SELECT c.id AS alert_reference, sender_id AS subject, receiver_id AS counterparty, n AS related_count, related_total, ids AS related_ids,
    'Subject ' || sender_id || ' sent ' || currency || ' ' || amount || ' to ' || receiver_id || '. Risk score: ' || risk_score || ' (' || risk_level || '). Alert: ' || title || '. ' || description || ' There are ' || n || ' related transactions from this sender.' AS narrative_prompt
-   FROM chain c JOIN rel USING (sender_id)""", CHAIN,
+   FROM chain c JOIN rel USING (sender_id) JOIN (SELECT sender_id, count(*) AS related_total FROM {otx} GROUP BY sender_id) n USING (sender_id)""", CHAIN,
   "rel AS (SELECT sender_id, CAST(count(*) AS INTEGER) AS n, string_agg(id, ',' ORDER BY created_at DESC, id) AS ids FROM (SELECT * FROM {otx} QUALIFY row_number() OVER (PARTITION BY sender_id ORDER BY created_at DESC, id) <= 20) x GROUP BY sender_id)")
 def _(t):
     ids = F.array_join(F.transform("related_transactions", lambda r: r["id"]), ",")
     return reports.sar_packages(t.alerts, t.otx, t.scores).select(
-        "alert_reference", F.col("subject.name").alias("subject"), F.col("counterparty.name").alias("counterparty"), "related_count",
+        "alert_reference", F.col("subject.name").alias("subject"), F.col("counterparty.name").alias("counterparty"), "related_count", "related_total",
         ids.alias("related_ids"), "narrative_prompt",
     )
 
@@ -198,39 +198,64 @@ def _devices(t):
 @query("entity_summary", """SELECT c.entity AS entity_id, round(coalesce(avg_risk, 0), 6) AS risk_score,
    CASE WHEN avg_risk >= 75 THEN 'CRITICAL' WHEN avg_risk >= 50 THEN 'HIGH' WHEN avg_risk >= 25 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level,
    ['LOW','MEDIUM','HIGH','CRITICAL'][coalesce(worst, 1)] AS max_risk_level, coalesce(device_count, 0) AS device_count, ['LOW','MEDIUM','HIGH','CRITICAL'][coalesce(worst_device, 1)] AS device_risk,
-   transaction_count, coalesce(alert_count, 0) AS alert_count, coalesce(kyc_level, 'UNKNOWN') AS kyc_level, coalesce(pep_status, FALSE) AS pep_status
+   transaction_count, coalesce(alert_count, 0) AS alert_count, coalesce(kyc_level, 'UNKNOWN') AS kyc_level, coalesce(pep_status, FALSE) AS pep_status, coalesce(results, '') AS enrichments
    FROM (SELECT entity, count(*) AS transaction_count FROM doubled GROUP BY entity) c
    LEFT JOIN (SELECT sender_id AS entity, count(*) AS alert_count FROM {alerts} a JOIN {otx} t ON a.transaction_id = t.id GROUP BY sender_id) a USING (entity)
    LEFT JOIN (SELECT entity_id AS entity, avg(risk_score::DOUBLE) AS avg_risk, max(list_position(['LOW','MEDIUM','HIGH','CRITICAL'], risk_level)) AS worst FROM {scores} GROUP BY entity_id) r USING (entity)
    LEFT JOIN (SELECT 'C' || substr(user_id, 2, 6) AS entity, count(DISTINCT canvas_hash || platform) AS device_count, max(length(user_agent) % 4 + 1) AS worst_device FROM {device} GROUP BY 1) d USING (entity)
-   LEFT JOIN (SELECT 'C' || substr(user_id, 2) AS entity, kyc_level, pep_status FROM {profiles} WHERE user_id[1] = 'U') p USING (entity)""", DOUBLED)
+   LEFT JOIN (SELECT 'C' || substr(user_id, 2) AS entity, kyc_level, pep_status FROM {profiles} WHERE user_id[1] = 'U') p USING (entity)
+   LEFT JOIN (SELECT entity_id AS entity, string_agg(enrichment_type || '=' || risk_score || '@' || epoch_us(created_at), ',' ORDER BY enrichment_type) AS results
+      FROM (SELECT * FROM {enrichments} QUALIFY row_number() OVER (PARTITION BY entity_id, enrichment_type ORDER BY created_at DESC, id DESC) = 1) x GROUP BY entity_id) e USING (entity)""", DOUBLED)
 def _(t):
     profiles = t.profiles.filter(F.col("user_id").startswith("U")).withColumn("user_id", F.concat(F.lit("C"), F.substring("user_id", 2, 20)))
-    card = investigate.entity_summary(t.otx, t.alerts, t.scores, profiles, _devices(t))
-    return card.withColumn("risk_score", F.round("risk_score", 6))
+    card = investigate.entity_summary(t.otx, t.alerts, t.scores, profiles, _devices(t), t.enrichments)
+    spelled = lambda e: F.concat(e["type"], F.lit("="), e["risk_score"].cast("string"), F.lit("@"), F.unix_micros(e["created_at"].cast("timestamp")).cast("string"))
+    return card.withColumn("risk_score", F.round("risk_score", 6)).withColumn("enrichments", F.array_join(F.transform("enrichments", spelled), ","))
 
 
 # Pattern matches as stored rows: one per large order.
 PATTERN_HITS = "hits AS (SELECT sender_id, 'VELOCITY_BURST' AS pattern_type, created_at AS detected_at FROM {otx} WHERE amount > 450000)"
 
 
+def _records(t):
+    tx = t.otx
+    hits = tx.filter("amount > 450000").select("sender_id", F.lit("VELOCITY_BURST").alias("pattern_type"), F.col("created_at").alias("detected_at"))
+    return investigate.debug_transactions(tx, t.scores, t.enrichments, _executions(t), hits)
+
+
+# The children of the decision records of large payments, a row each, with their place in their list.
+@query("debug_children", """SELECT transaction_id, part, name, happened_at, CAST(row_number() OVER (PARTITION BY transaction_id, part ORDER BY happened_at DESC, name, score) AS INTEGER) AS place, score FROM (
+    SELECT t.external_id AS transaction_id, 'enrichment' AS part, enrichment_type AS name, e.created_at AS happened_at, CAST(e.risk_score AS INTEGER) AS score FROM {otx} t JOIN {enrichments} e ON e.entity_id = t.sender_id WHERE amount > 400000
+    UNION ALL SELECT t.external_id, 'rule', x.rule_name, x.created_at, 0 FROM {otx} t JOIN executions x ON x.transaction_id = t.id OR x.transaction_id = t.external_id WHERE amount > 400000
+    UNION ALL SELECT t.external_id, 'pattern', pattern_type, detected_at, 0 FROM {otx} t JOIN (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY sender_id ORDER BY detected_at DESC) <= 10) h USING (sender_id) WHERE amount > 400000) x""", EXECUTIONS, PATTERN_HITS)
+def _(t):
+    record = _records(t).filter("amount > 400000")
+
+    def rows(part: str, column: str, name: str, at: str, score):
+        found = record.select("transaction_id", F.posexplode(column).alias("i", "c"))
+        return found.select("transaction_id", F.lit(part).alias("part"), F.col(f"c.{name}").alias("name"), F.col(f"c.{at}").alias("happened_at"), (F.col("i") + 1).alias("place"), score.alias("score"))
+
+    none = F.lit(0)
+    return (
+        rows("enrichment", "enrichments", "type", "created_at", F.col("c.risk_score").cast("int")).unionByName(rows("rule", "rules", "rule_name", "matched_at", none))
+        .unionByName(rows("pattern", "newest_patterns", "pattern_type", "detected_at", none))
+    )
+
+
 @query("debug_transaction", """SELECT t.external_id AS transaction_id, t.sender_id, CAST(t.amount AS DOUBLE) AS amount, final AS final_risk_score, s.risk_level AS final_risk_level,
    CASE WHEN final >= 75 THEN 'BLOCK' WHEN final >= 50 THEN 'SUSPEND' WHEN final >= 25 THEN 'FLAG' ELSE 'ALLOW' END AS final_action,
-   coalesce(r.n, 0) AS rule_matches, coalesce(h.n, 0) AS cep_patterns, coalesce(e.n, 0) AS enrichment_signals, CAST((a_part > 0)::INT + (velocity_score > 0)::INT + (sanctions_score > 0)::INT + (pattern_score > 0)::INT AS INTEGER) AS triggered,
+   coalesce(r.n, 0) AS rule_matches, coalesce(h.n, 0) AS cep_patterns, CAST(least(coalesce(h.n, 0), 10) AS INTEGER) AS patterns_shown, coalesce(e.n, 0) AS enrichment_signals, CAST((a_part > 0)::INT + (velocity_score > 0)::INT + (sanctions_score > 0)::INT + (pattern_score > 0)::INT AS INTEGER) AS triggered,
    CAST(4 + (a_part > 0)::INT + (velocity_score > 0)::INT + (sanctions_score > 0)::INT + (pattern_score > 0)::INT + (r.n > 0 AND r.n IS NOT NULL)::INT + (h.n IS NOT NULL)::INT + (e.n IS NOT NULL)::INT AS INTEGER) AS path_length
    FROM (SELECT *, CASE WHEN amount > 50000 THEN 35 WHEN amount > 10000 THEN 20 WHEN amount > 5000 THEN 10 ELSE 0 END AS a_part FROM {otx}) t
    JOIN (SELECT *, NULL AS x FROM {scores}) s ON s.transaction_id = t.id
    LEFT JOIN (SELECT CASE WHEN status = 'BLOCKED' THEN id ELSE id END AS id, 1::BIGINT AS n FROM {otx} WHERE status IN ('BLOCKED','SUSPENDED')) r ON r.id = t.id
-   LEFT JOIN (SELECT sender_id, least(count(*), 10) AS n FROM hits GROUP BY sender_id) h ON h.sender_id = t.sender_id
+   LEFT JOIN (SELECT sender_id, count(*) AS n FROM hits GROUP BY sender_id) h ON h.sender_id = t.sender_id
    LEFT JOIN (SELECT entity_id, count(*) AS n FROM {enrichments} GROUP BY entity_id) e ON e.entity_id = t.sender_id,
    LATERAL (SELECT CASE WHEN s.risk_score = 0 THEN least(a_part + velocity_score + sanctions_score + pattern_score, 100)::DOUBLE ELSE s.risk_score::DOUBLE END AS final) f""", PATTERN_HITS)
 def _(t):
-    tx = t.otx
-    hits = tx.filter("amount > 450000").select("sender_id", F.lit("VELOCITY_BURST").alias("pattern_type"), F.col("created_at").alias("detected_at"))
-    record = investigate.debug_transactions(tx, t.scores, t.enrichments, _executions(t), hits)
+    record = _records(t)
     triggered = F.size(F.filter("score_factors", lambda f: f["triggered"]))
     return record.select(
         "transaction_id", "sender_id", "amount", "final_risk_score", "final_risk_level", "final_action", "rule_matches",
-        F.size("newest_patterns").cast("long").alias("cep_patterns"),  # the SQL counts the patterns shown
-        "enrichment_signals", triggered.alias("triggered"), F.size("decision_path").alias("path_length"),
+        "cep_patterns", F.size("newest_patterns").alias("patterns_shown"), "enrichment_signals", triggered.alias("triggered"), F.size("decision_path").alias("path_length"),
     )

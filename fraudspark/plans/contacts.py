@@ -228,6 +228,13 @@ def _(t):
     return combine.latest_enrichments(t.enrichments).select("entity_id", "enrichment_type", "risk_score", "created_at")
 
 
+@query("entity_enrichments", """SELECT entity_id, count(*) OVER (PARTITION BY entity_id) AS enrichment_count, CAST(row_number() OVER (PARTITION BY entity_id ORDER BY created_at DESC, id DESC) AS INTEGER) AS place,
+   enrichment_type, risk_score, created_at FROM {enrichments}""")
+def _(t):
+    found = combine.entity_enrichments(t.enrichments).select("entity_id", "enrichment_count", F.explode("enrichments").alias("e"))
+    return found.select("entity_id", "enrichment_count", "e.place", "e.enrichment_type", "e.risk_score", "e.created_at")
+
+
 # --- devices ---------------------------------------------------------------------------------
 
 HASH = "substr(sha256(canvas_hash || '|' || webgl_hash || '|' || screen_width || 'x' || screen_height || '|' || user_agent || '|' || platform || '|' || language || '|' || timezone_name), 1, 32)"

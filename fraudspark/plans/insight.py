@@ -149,6 +149,13 @@ def _(t):
     )
 
 
+@query("retrain_gate", """SELECT CASE WHEN n >= 200 THEN 'retrain_started' ELSE 'retrain_skipped' END AS event, CASE WHEN n >= 200 THEN '' ELSE 'insufficient_labels' END AS reason, n AS n_labels, CAST(200 AS INTEGER) AS min_samples
+   FROM (SELECT count(DISTINCT id) AS n FROM {alerts} WHERE status IN ('RESOLVED', 'DISMISSED') AND resolved_by IS NOT NULL AND resolved_at >= (SELECT max(resolved_at) FROM {alerts}) - INTERVAL '900 days') x""")
+def _(t):
+    labels = monitor.training_labels(t.alerts, t.model_scores, t.alerts.agg(F.max("resolved_at")).scalar(), 900)
+    return monitor.retrain_gate(labels).withColumn("reason", F.coalesce("reason", F.lit("")))
+
+
 # --- drift and calibration -------------------------------------------------------------------
 
 RECENT = "recent AS (SELECT model_name, model_score AS score FROM {model_scores} WHERE source = 'model' AND created_at >= (SELECT max(created_at) FROM {model_scores}) - INTERVAL '720 hours')"
@@ -177,6 +184,12 @@ def _(t):
     return monitor.drift_report(t.calibration, _recent(t))
 
 
+@query("sink_drift", "SELECT model_name AS key, model_name, round(sum(c), 6) AS psi, CASE WHEN sum(c) >= 0.2 THEN 'alert' WHEN sum(c) >= 0.1 THEN 'monitor' ELSE 'stable' END AS status FROM psi_rows GROUP BY model_name", RECENT, SORTED, EDGES, BINNED, PSI)
+def _(t):
+    messages = records.as_messages(monitor.drift_report(t.calibration, _recent(t)), "model_name")
+    return messages.select("key", F.from_json("value", "model_name STRING, psi DOUBLE, status STRING").alias("m")).select("key", "m.*")
+
+
 @query("anomaly_percentile", """SELECT transaction_id, m.model_name, model_version, m.model_score AS score, round(c.below / c.n, 6) AS percentile, c.below / c.n >= 0.95 AS is_anomaly FROM {model_scores} m
    JOIN (SELECT q.model_name, q.s, (SELECT n FROM sorted WHERE sorted.model_name = q.model_name) AS n, count(k.score) AS below FROM (SELECT DISTINCT model_name, model_score AS s FROM {model_scores}) q LEFT JOIN {calibration} k ON k.model_name = q.model_name AND k.score < q.s GROUP BY q.model_name, q.s) c
    ON c.model_name = m.model_name AND c.s = m.model_score""", SORTED)

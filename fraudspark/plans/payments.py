@@ -122,6 +122,25 @@ def _(t):
     return records.check_transactions(t.tx_raw).select("event_id", F.array_join("failed", ",").alias("failed"))
 
 
+@query("validate_scores", """SELECT transaction_id, array_to_string(list_filter([CASE WHEN changed BETWEEN 0 AND 100 THEN NULL ELSE 'score_range' END,
+    CASE WHEN level IN ('LOW', 'MEDIUM', 'HIGH', 'CRITICAL') THEN NULL ELSE 'level_known' END], lambda x: x IS NOT NULL), ',') AS failed
+  FROM (SELECT transaction_id, risk_score::DOUBLE * 2 - 20 AS changed, CASE WHEN risk_level = 'LOW' THEN 'low' ELSE risk_level END AS level FROM {scores}) s""")
+def _(t):
+    changed = t.scores.withColumn("risk_score", F.col("risk_score").cast("double") * 2 - 20)
+    level = F.when(F.col("risk_level") == "LOW", "low").otherwise(F.col("risk_level"))
+    return records.check_scores(changed.withColumn("risk_level", level)).select("transaction_id", F.array_join("failed", ",").alias("failed"))
+
+
+@query("validate_rules", """SELECT rule_id, array_to_string(list_filter([CASE WHEN action IN ('BLOCK', 'SUSPEND', 'FLAG') THEN NULL ELSE 'action_known' END,
+    CASE WHEN severity IN ('LOW', 'MEDIUM', 'HIGH', 'CRITICAL') THEN NULL ELSE 'severity_known' END], lambda x: x IS NOT NULL), ',') AS failed
+  FROM (SELECT rule_id, CASE WHEN risk_score_adjustment < 10 THEN lower(action) ELSE action END AS action, CASE WHEN risk_score_adjustment > 50 THEN NULL ELSE severity END AS severity FROM {rule_table}) r""")
+def _(t):
+    action = F.when(F.col("risk_score_adjustment") < 10, F.lower("action")).otherwise(F.col("action"))
+    severity = F.when(F.col("risk_score_adjustment") <= 50, F.col("severity"))
+    checked = records.check_rules(t.rule_table.withColumn("action", action).withColumn("severity", severity))
+    return checked.select("rule_id", F.array_join("failed", ",").alias("failed"))
+
+
 @query("ingest_record", f"SELECT sender_id AS key, external_id, sender_id, receiver_id, amount, currency, sender_iban, transaction_type, coalesce(metadata, '{{}}') AS metadata, {AUDIT_SQL} AS ingested_at FROM {{tx_raw}} WHERE " + " AND ".join(f"coalesce({c}, FALSE)" for c in CHECKS_SQL.values()))
 def _(t):
     valid, _ = records.split_valid(records.check_transactions(t.tx_raw))

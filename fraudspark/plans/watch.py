@@ -193,17 +193,23 @@ def _(t):
     )
 
 
-STORED_ENTITIES = "SELECT id, schema_type, caption, dataset, TIMESTAMP '2023-01-01 00:00:00' AS seen FROM {entities} WHERE schema_type <> 'Vessel'"
+STORED_ENTITIES = "SELECT id, schema_type, caption, dataset, '{\"name\":[\"' || name || '\"]}' AS properties, TIMESTAMP '2023-01-01 00:00:00' AS seen FROM {entities} WHERE schema_type <> 'Vessel'"
 
 
 @query("watchlist_upsert", f"""SELECT coalesce(o.id, n.id) AS id, coalesce(o.schema_type, n.schema_type) AS schema_type, coalesce(n.caption, o.caption) AS caption, coalesce(n.dataset, o.dataset) AS datasets,
-   coalesce(o.seen, {AUDIT_SQL}) AS first_seen, CASE WHEN n.id IS NOT NULL THEN {AUDIT_SQL} ELSE o.seen END AS last_seen FROM stored o FULL JOIN fresh n ON o.id = n.id""",
-  f"stored AS ({STORED_ENTITIES})", "fresh AS (SELECT id, schema_type, caption || ' (new)' AS caption, dataset FROM {entities} WHERE dataset = 'us_ofac')")
+   coalesce(o.seen, {AUDIT_SQL}) AS first_seen, CASE WHEN n.id IS NOT NULL THEN {AUDIT_SQL} ELSE o.seen END AS last_seen,
+   CASE WHEN n.id IS NOT NULL THEN {AUDIT_SQL} ELSE o.seen END AS last_change, CASE WHEN n.id IS NOT NULL THEN n.properties ELSE o.properties END AS properties,
+   coalesce(o.seen, {AUDIT_SQL}) AS created_at, CASE WHEN n.id IS NOT NULL THEN {AUDIT_SQL} ELSE o.seen END AS updated_at FROM stored o FULL JOIN fresh n ON o.id = n.id""",
+  f"stored AS ({STORED_ENTITIES})", "fresh AS (SELECT id, schema_type, caption || ' (new)' AS caption, dataset, '{\"name\":[\"' || alias || '\"]}' AS properties FROM {entities} WHERE dataset = 'us_ofac')")
 def _(t):
     past = F.lit("2023-01-01 00:00:00").cast("timestamp_ntz")
     base = t.entities.withColumn("datasets", F.array("dataset"))
-    stored = base.filter("schema_type <> 'Vessel'").select("id", "schema_type", "caption", "datasets", past.alias("first_seen"), past.alias("last_seen"))
-    fresh = base.filter("dataset = 'us_ofac'").select("id", "schema_type", F.concat("caption", F.lit(" (new)")).alias("caption"), "datasets")
+    named = lambda c: F.to_json(F.struct(F.array(c).alias("name")))
+    times = [past.alias(c) for c in ("first_seen", "last_seen", "last_change", "created_at", "updated_at")]
+    stored = base.filter("schema_type <> 'Vessel'").select("id", "schema_type", "caption", "datasets", named("name").alias("properties"), *times)
+    fresh = base.filter("dataset = 'us_ofac'").select(
+        "id", "schema_type", F.concat("caption", F.lit(" (new)")).alias("caption"), "datasets", named("alias").alias("properties"), audit_time().alias("last_change")
+    )
     return maintenance.upsert_entities(stored, fresh, audit_time()).withColumn("datasets", F.array_join("datasets", ","))
 
 
@@ -226,17 +232,19 @@ def _(t):
 
 
 @query("sync_status", f"""SELECT dataset_name, coalesce(n, 0) AS records_count, CASE WHEN n IS NULL THEN 'PENDING' WHEN err IS NULL THEN 'SUCCESS' ELSE 'FAILED' END AS status, coalesce(substr(err, 1, 500), '') AS error_message,
-   CASE WHEN n IS NULL THEN TIMESTAMP '2023-01-01 00:00:00' ELSE {AUDIT_SQL} END AS last_sync_at FROM (SELECT n_name, CASE n_nationkey % 4 WHEN 0 THEN 'us_ofac' WHEN 1 THEN 'eu_fsf' WHEN 2 THEN 'gb_hmt' ELSE n_name END AS dataset_name FROM {{nation}} QUALIFY row_number() OVER (PARTITION BY dataset_name ORDER BY n_nationkey) = 1) s
+   CASE WHEN n IS NULL THEN TIMESTAMP '2023-01-01 00:00:00' ELSE {AUDIT_SQL} END AS last_sync_at, CASE WHEN n IS NULL THEN TIMESTAMP '2023-01-01 00:00:00' ELSE {AUDIT_SQL} END AS updated_at,
+   CAST(CASE WHEN n IS NULL THEN 0 ELSE 95 END AS INTEGER) AS sync_duration_seconds FROM (SELECT n_name, CASE n_nationkey % 4 WHEN 0 THEN 'us_ofac' WHEN 1 THEN 'eu_fsf' WHEN 2 THEN 'gb_hmt' ELSE n_name END AS dataset_name FROM {{nation}} QUALIFY row_number() OVER (PARTITION BY dataset_name ORDER BY n_nationkey) = 1) s
    LEFT JOIN (SELECT dataset, count(*) AS n, max(CASE WHEN dataset = 'gb_hmt' THEN rpad('bad line ', 900, 'x') END) AS err FROM {{entities}} GROUP BY dataset) c ON c.dataset = s.dataset_name""")
 def _(t):
     m = F.col("n_nationkey") % 4
     named = F.when(m == 0, "us_ofac").when(m == 1, "eu_fsf").when(m == 2, "gb_hmt").otherwise(F.col("n_name"))
     stored = t.nation.select(named.alias("dataset_name")).distinct().select(
         "dataset_name", F.lit(0).cast("long").alias("records_count"), F.lit("PENDING").alias("status"), F.lit("").alias("error_message"),
-        F.lit("2023-01-01 00:00:00").cast("timestamp_ntz").alias("last_sync_at"),
+        F.lit("2023-01-01 00:00:00").cast("timestamp_ntz").alias("last_sync_at"), F.lit("2023-01-01 00:00:00").cast("timestamp_ntz").alias("updated_at"),
+        F.lit(0).alias("sync_duration_seconds"),
     )
     error = F.when(F.col("dataset_name") == "gb_hmt", F.rpad(F.lit("bad line "), 900, "x"))
-    synced = maintenance.sync_status(stored, t.entities.withColumnRenamed("dataset", "dataset_name"), audit_time(), error)
+    synced = maintenance.sync_status(stored, t.entities.withColumnRenamed("dataset", "dataset_name"), audit_time(), audit_time() - F.expr("INTERVAL '95.5' SECOND"), error)
     return synced.withColumn("error_message", F.coalesce("error_message", F.lit("")))
 
 
