@@ -116,31 +116,54 @@ def _neighbours(edges: DataFrame) -> DataFrame:
     return edges.filter(F.col("sender_id") != F.col("receiver_id")).select(F.explode(pair).alias("p")).select("p.*").distinct()
 
 
+ROOTS_PER_MASK = 63
+
+
+def node_figures(edges: DataFrame) -> DataFrame:
+    """Per node of the edge aggregate: payments sent and received, and their total; one to oneself is two payments and one amount."""
+    own = F.col("sender_id") == F.col("receiver_id")
+    side = lambda who, amount: edges.select(F.col(who).alias("node"), F.col("tx_count").alias("n"), amount.alias("amount"))
+    amount = F.col("total_amount")
+    both = side("sender_id", amount).unionByName(side("receiver_id", F.when(own, amount - amount).otherwise(amount)))
+    return both.groupBy("node").agg(F.sum("n").alias("transaction_count"), F.sum("amount").alias("total_amount"))
+
+
 def khop_network(edges: DataFrame, roots: DataFrame, depth: int = 2) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) around each root, for many roots at once.
 
-    ``edges`` is the edge aggregate, ``roots`` has one column ``root``. Nodes carry their distance;
-    the edges of every node up to ``depth`` hops are included, so nodes one hop further appear as well.
+    ``edges`` is the edge aggregate, ``roots`` has one column ``root``. Nodes carry their distance and figures; the
+    edges of every node up to ``depth`` hops are included, so nodes one hop further appear as well.
+
+    The search goes out from ``ROOTS_PER_MASK`` roots together: a row is a node with the set of roots that have come
+    there, as bits, and what meets in a node is put together before the shuffle. Only the result has a row per root.
     """
+    numbered = cut_lineage(roots.select("root").distinct().withColumn("__id", F.monotonically_increasing_id()))
+    numbered = numbered.select(
+        "root", F.expr(f"__id div {ROOTS_PER_MASK}").alias("block"), F.expr(f"shiftleft(1L, CAST(__id % {ROOTS_PER_MASK} AS INT))").alias("bit")
+    )
     neighbours = cut_lineage(_neighbours(edges))
-    reached = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("distance")).distinct()
-    frontier = reached
+    frontier = numbered.groupBy("block", F.col("root").alias("node")).agg(F.bit_or("bit").alias("mask")).withColumn("distance", F.lit(0))
+    reached = frontier
     for step in range(1, depth + 2):
-        fresh = (
-            frontier.join(neighbours, "node").select("root", F.col("neighbour").alias("node")).distinct()
-            .join(reached.select("root", "node"), ["root", "node"], "left_anti")
-            .withColumn("distance", F.lit(step))
-        )
-        frontier = cut_lineage(fresh)
+        met = frontier.join(neighbours, "node").groupBy("block", F.col("neighbour").alias("node")).agg(F.bit_or("mask").alias("mask"))
+        seen = reached.groupBy("block", "node").agg(F.bit_or("mask").alias("seen"))
+        new = F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("seen", F.lit(0).cast("long"))))
+        fresh = met.join(seen, ["block", "node"], "left").withColumn("mask", new).filter("mask <> 0")
+        frontier = cut_lineage(fresh.select("block", "node", "mask", F.lit(step).alias("distance")))
         reached = reached.unionByName(frontier)
-    inner = reached.filter(F.col("distance") <= depth).select("root", "node")
+
+    def by_root(rows: DataFrame) -> DataFrame:
+        return rows.join(numbered, "block").filter(F.col("mask").bitwiseAND(F.col("bit")) != 0).drop("block", "mask", "bit")
+
+    inner = reached.filter(F.col("distance") <= depth).groupBy("block", "node").agg(F.bit_or("mask").alias("mask"))
     columns = ["sender_id", "receiver_id", "total_amount", "tx_count", "currency"]
     touching = (
-        inner.join(edges, F.col("node") == F.col("sender_id")).select("root", *columns)
-        .unionByName(inner.join(edges, F.col("node") == F.col("receiver_id")).select("root", *columns))
-        .dropDuplicates(["root", "sender_id", "receiver_id"])
+        inner.join(edges, F.col("node") == F.col("sender_id")).select("block", "mask", *columns)
+        .unionByName(inner.join(edges, F.col("node") == F.col("receiver_id")).select("block", "mask", *columns))
+        .groupBy("block", *columns).agg(F.bit_or("mask").alias("mask"))
     )
-    return reached, touching
+    nodes = reached.join(node_figures(edges), "node", "left")
+    return by_root(nodes).select("root", "node", "distance", "transaction_count", "total_amount"), by_root(touching).select("root", *columns)
 
 
 def component_labels(edges: DataFrame) -> DataFrame:

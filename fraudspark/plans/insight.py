@@ -77,13 +77,23 @@ LINKS = """pairs AS (SELECT DISTINCT a, b FROM (SELECT sender_id AS a, receiver_
 HOPS = """hops AS (SELECT DISTINCT sender_id AS root, sender_id AS node, 0 AS d FROM {links} UNION SELECT h.root, p.b, h.d + 1 FROM hops h JOIN pairs p ON p.a = h.node WHERE h.d < 3)"""
 
 
-@query("khop_network", """SELECT 'node' AS part, root, node AS item, min(d) AS distance FROM hops GROUP BY root, node
-   UNION ALL SELECT DISTINCT 'edge', h.root, l.sender_id || '>' || l.receiver_id, -1 FROM hops h JOIN {links} l ON (h.node = l.sender_id OR h.node = l.receiver_id) WHERE h.d <= 2""", LINKS, HOPS)
+FIGURES = """figures AS (SELECT node, CAST(sum(c) AS BIGINT) AS n, sum(a) AS total FROM (SELECT sender_id AS node, count(*) AS c, sum(amount) AS a FROM {links} GROUP BY 1
+    UNION ALL SELECT receiver_id, count(*), sum(CASE WHEN sender_id <> receiver_id THEN amount ELSE 0 END) FROM {links} GROUP BY 1) x GROUP BY node)"""
+
+
+@query("khop_network", """SELECT 'node' AS part, root, node AS item, min(d) AS distance, any_value(n) AS transaction_count, CAST(any_value(total) AS DOUBLE) AS total_amount FROM hops LEFT JOIN figures USING (node) GROUP BY root, node
+   UNION ALL SELECT 'edge', root, e.sender_id || '>' || e.receiver_id, -1, e.n, e.total
+     FROM (SELECT DISTINCT h.root, l.sender_id, l.receiver_id FROM hops h JOIN {links} l ON (h.node = l.sender_id OR h.node = l.receiver_id) WHERE h.d <= 2) x
+     JOIN (SELECT sender_id, receiver_id, count(*) AS n, CAST(sum(amount) AS DOUBLE) AS total FROM {links} GROUP BY ALL) e ON e.sender_id = x.sender_id AND e.receiver_id = x.receiver_id""", LINKS, HOPS, FIGURES)
 def _(t):
     links = t.links
     nodes, edges = graph.khop_network(graph.edge_aggregate(links), links.select(F.col("sender_id").alias("root")).distinct(), 2)
-    return nodes.select(F.lit("node").alias("part"), "root", F.col("node").alias("item"), "distance").unionByName(
-        edges.select(F.lit("edge").alias("part"), "root", F.concat_ws(">", "sender_id", "receiver_id").alias("item"), F.lit(-1).alias("distance"))
+    total = F.col("total_amount").cast("double").alias("total_amount")
+    return nodes.select(F.lit("node").alias("part"), "root", F.col("node").alias("item"), "distance", "transaction_count", total).unionByName(
+        edges.select(
+            F.lit("edge").alias("part"), "root", F.concat_ws(">", "sender_id", "receiver_id").alias("item"), F.lit(-1).alias("distance"),
+            F.col("tx_count").alias("transaction_count"), total,
+        )
     )
 
 
