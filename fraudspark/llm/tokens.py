@@ -22,7 +22,7 @@ END = "</w>"
 #: Printable ASCII, the usual white space, and Latin letters that have one lower-case form and no marks to compose.
 PLAIN = re.compile("[\t\n\r -~¡-įı-ňŊ-ž]*")
 
-CACHED_BYTES = 96 << 20  # of each cache, entries counted with what they hold
+CACHED_BYTES = 160 << 20  # of each cache, entries counted with what they hold
 ENTRY_BYTES = 200  # of an entry beside its text and ids
 
 
