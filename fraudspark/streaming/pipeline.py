@@ -90,16 +90,21 @@ def model_scores(raw: DataFrame, model_version: str = "baseline", threshold: flo
 ONCE = {"availableNow": True}
 
 
-def match_rules_per_batch(payments: DataFrame, read_rules: Callable[[], DataFrame], out: str, checkpoint: str, trigger: dict = ONCE, messages: str | None = None):
+def match_rules_per_batch(payments: DataFrame, read_rules: Callable[[], DataFrame], out: str, checkpoint: str, trigger: dict = ONCE, messages: str | None = None, as_of: bool = False):
     """Stream against changing rules: each batch is matched with the rules stored at that moment.
 
-    Matches carry their payment's time. They are appended to the table ``out``, and sent to the topic folder
+    With ``as_of``, ``read_rules`` gives all rule messages so far (a table that ``store_rules`` fills), and a payment is
+    matched with the version of each rule that held at its own time; a message that arrives after the payment's batch
+    does not change it any more. Matches carry their payment's time. They are appended to the table ``out``, and sent to the topic folder
     ``messages`` where one is named.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
-            hits = rules.stream_matches(batch, rules.latest_versions(read_rules()), F.col("event_time"))
+            if as_of:
+                hits = rules.stream_matches_as_of(batch, rules.rule_history(read_rules()), F.col("event_time"))
+            else:
+                hits = rules.stream_matches(batch, rules.latest_versions(read_rules()), F.col("event_time"))
             writers.append_batch(hits, out, batch_id)
             if messages:
                 writers.write_messages(hits, messages, batch_id)
@@ -109,6 +114,11 @@ def match_rules_per_batch(payments: DataFrame, read_rules: Callable[[], DataFram
     return payments.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
+def store_rules(messages: DataFrame, out: str, checkpoint: str, trigger: dict = ONCE):
+    """The stream of rule messages as a table of all versions."""
+    return run_to_table(messages, out, checkpoint, trigger=trigger)
+
+
 def pattern_rows(found: DataFrame) -> DataFrame:
     """Alert rows (alert and audit text) of matches found on the stream."""
     kind = lambda name: found.filter(F.col("pattern_type") == name).withColumn("detected_at", F.timestamp_micros("detected_us"))
