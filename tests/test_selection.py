@@ -59,3 +59,14 @@ def test_reconstruction_scores(spark):
     got = {r.id: r for r in models.reconstruction_scores(rebuilt, frame(spark, [("m", 1.0), ("m", 2.0), ("m", 2.5), ("m", 9.0)])).collect()}
     assert {k: (r.reconstruction_error, r.percentile, r.is_anomaly) for k, r in got.items()} == {"a": (2.0, 0.25, False), "b": (3.0, 0.75, False), "c": (1.0, 0.5, False)}
     assert got["b"].anomaly_score == 75.0
+
+
+def test_rounds_of_a_selection_do_not_sort_the_values(spark, rows, monkeypatch):
+    plans, real = [], selection.cut_lineage
+    monkeypatch.setattr(selection, "cut_lineage", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), real(df))[1])
+    ranks = spark.createDataFrame([("hot", 1000)], "model_name STRING, rank LONG")
+    got = selection.values_at_ranks(frame(spark, rows), ranks, "model_name", "score", 4, 20).head()["score"]
+    assert got == sorted(v for k, v in rows if k == "hot")[1000]
+    rounds = plans[1:]
+    assert rounds and all("ObjectHashAggregate" in p and "SortAggregate" not in p for p in rounds)
+    assert all("SortMergeJoin" not in p.split("percentile_approx")[-1] for p in rounds)
