@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fraudspark.operators.components import connected_components
-from fraudspark.session import cut_lineage
+from fraudspark.session import kept_table
 
 # Names of the graph features in contract order, and of the payment features before them.
 GRAPH_FEATURES = [
@@ -119,6 +119,17 @@ def _neighbours(edges: DataFrame) -> DataFrame:
 ROOTS_PER_MASK = 63
 
 
+def _near_together(roots: DataFrame, neighbours: DataFrame) -> DataFrame:
+    """The different roots, in the order of the least node that they are next to or are.
+
+    Roots that share much of their networks often stand side by side in that order, and then share the rows of a mask:
+    the more so, the nearer the names of a network are. The result does not depend on it.
+    """
+    around = neighbours.groupBy(F.col("node").alias("root")).agg(F.min("neighbour").alias("least"))
+    met = roots.select("root").distinct().join(around, "root", "left")
+    return met.select("root", F.coalesce(F.least("least", "root"), "root").alias("least")).orderBy("least", "root").select("root")
+
+
 def node_figures(edges: DataFrame) -> DataFrame:
     """Per node of the edge aggregate: payments sent and received, and their total; one to oneself is two payments and one amount."""
     own = F.col("sender_id") == F.col("receiver_id")
@@ -135,21 +146,25 @@ def khop_network(edges: DataFrame, roots: DataFrame, depth: int = 2) -> tuple[Da
     edges of every node up to ``depth`` hops are included, so nodes one hop further appear as well.
 
     The search goes out from ``ROOTS_PER_MASK`` roots together: a row is a node with the set of roots that have come
-    there, as bits, and what meets in a node is put together before the shuffle. Only the result has a row per root.
+    there, as bits, and what meets in a node is put together before the shuffle. Roots near each other are taken together,
+    so that a row serves many of them. Only the result has a row per root.
     """
-    numbered = cut_lineage(roots.select("root").distinct().withColumn("__id", F.monotonically_increasing_id()))
+    edges = kept_table(edges, "khop-edges")
+    neighbours = kept_table(_neighbours(edges), "khop-neighbours")
+    numbered = kept_table(_near_together(roots, neighbours).withColumn("__id", F.monotonically_increasing_id()), "khop-roots")
     numbered = numbered.select(
         "root", F.expr(f"__id div {ROOTS_PER_MASK}").alias("block"), F.expr(f"shiftleft(1L, CAST(__id % {ROOTS_PER_MASK} AS INT))").alias("bit")
     )
-    neighbours = cut_lineage(_neighbours(edges))
     frontier = numbered.groupBy("block", F.col("root").alias("node")).agg(F.bit_or("bit").alias("mask")).withColumn("distance", F.lit(0))
-    reached = frontier
+    reached, last = frontier, frontier
     for step in range(1, depth + 2):
+        before = frontier
         met = frontier.join(neighbours, "node").groupBy("block", F.col("neighbour").alias("node")).agg(F.bit_or("mask").alias("mask"))
-        seen = reached.groupBy("block", "node").agg(F.bit_or("mask").alias("seen"))
+        seen = last.groupBy("block", "node").agg(F.bit_or("mask").alias("seen"))  # a neighbour is at most one step nearer
         new = F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("seen", F.lit(0).cast("long"))))
         fresh = met.join(seen, ["block", "node"], "left").withColumn("mask", new).filter("mask <> 0")
-        frontier = cut_lineage(fresh.select("block", "node", "mask", F.lit(step).alias("distance")))
+        frontier = kept_table(fresh.select("block", "node", "mask", F.lit(step).alias("distance")), "khop-reached")
+        last = frontier.unionByName(before)
         reached = reached.unionByName(frontier)
 
     def by_root(rows: DataFrame) -> DataFrame:
