@@ -28,6 +28,7 @@ from fraudspark.llm.tokens import encoder
 
 SIZE = 2048
 END_ID = 0
+TEXTS = 500  # held as Python strings at once
 
 Run = tuple[tuple[int, ...], int]  # lengths of a filling, longest first; number of sequences
 
@@ -239,7 +240,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, with_ids: bool = F
 
         task, encode, seen = TaskContext.get().partitionId(), encoder(tokenizer).encode, {}
         end = END_ID.to_bytes(4, "little")
-        for batch in batches:
+        for batch in (some.slice(at, TEXTS) for some in batches for at in range(0, some.num_rows, TEXTS)):
             rows, of, blobs = [], [], []
             for i, text in enumerate(batch["text"].to_pylist()):
                 ids = encode(text) + end

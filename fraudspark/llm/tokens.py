@@ -4,7 +4,8 @@ The tokenizer lower-cases, treats all white space alike and never joins across i
 those of its parts between white space, in order. A part is cut into pieces (letters, a digit, signs) as the
 tokenizer's own rule does, and a piece is encoded once per worker while the caches have room. Texts with
 characters beyond Latin, where lower case or composition follow wider rules, and texts that hold the name of a
-special token go through the whole tokenizer.
+special token go through the whole tokenizer. A cache is two generations: a full one waits until the next is full,
+and what is met again moves on, so the words that recur stay and the many that come once do not pile up.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ END = "</w>"
 #: Printable ASCII, the usual white space, and Latin letters that have one lower-case form and no marks to compose.
 PLAIN = re.compile("[\t\n\r -~¡-įı-ňŊ-ž]*")
 
-CACHED_BYTES = 160 << 20  # of each cache, entries counted with what they hold
+CACHED_BYTES = 32 << 20  # of each generation of a cache, entries counted with what they hold
 ENTRY_BYTES = 200  # of an entry beside its text and ids
 
 
@@ -33,6 +34,34 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+class Recent:
+    """Ids of what was met lately: ``young`` and the generation before it."""
+
+    def __init__(self):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.size = 0
+
+    def add(self, name: str, ids: bytes) -> None:
+        self.young[name] = ids
+        self.size += ENTRY_BYTES + len(name) + len(ids)
+
+    def missing(self, names: set[str]) -> list[str]:
+        """The names in neither generation; those in the old one become young."""
+        out = []
+        for name in names:
+            if name not in self.young:
+                if (ids := self.old.get(name)) is None:
+                    out.append(name)
+                else:
+                    self.add(name, ids)
+        return out
+
+    def turn(self) -> None:
+        if self.size > CACHED_BYTES:
+            self.young, self.old, self.size = {}, self.young, 0
+
+
 class Encoder:
     """Ids as little-endian unsigned 32-bit bytes."""
 
@@ -48,9 +77,7 @@ class Encoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for word, i in vocabulary.items() if word.endswith(END)]] = True
         self.letters = byte_letters()
-        self.parts: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.part_bytes = self.piece_bytes = 0
+        self.parts, self.pieces = Recent(), Recent()
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -59,25 +86,21 @@ class Encoder:
         if not PLAIN.fullmatch(text) or any(name in text for name in SPECIAL_NAMES):
             return self.whole([text])[0]
         words = text.split()
-        known = self.parts
+        known = self.parts.young
         try:
             return b"".join(map(known.__getitem__, words))
         except KeyError:
             pass
-        self._learn({w for w in words if w not in known})
+        self._learn(self.parts.missing(set(words)))
         out = b"".join(map(known.__getitem__, words))
-        if self.part_bytes > CACHED_BYTES:
-            known.clear()
-            self.part_bytes = 0
-        if self.piece_bytes > CACHED_BYTES:
-            self.pieces.clear()
-            self.piece_bytes = 0
+        self.parts.turn()
+        self.pieces.turn()
         return out
 
-    def _learn(self, missing: set[str]) -> None:
+    def _learn(self, missing: list[str]) -> None:
         """Encodes parts; their new pieces go through the model together, and each ends at its end-of-word id."""
         cut = {w: PIECE.findall(w.lower()) for w in missing}
-        new = list({p for pieces in cut.values() for p in pieces if p not in self.pieces})
+        new = self.pieces.missing({p for pieces in cut.values() for p in pieces})
         if new:
             text = " ".join(new)
             if not text.isascii():
@@ -86,12 +109,11 @@ class Encoder:
             past = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             data, at = ids.tobytes(), 0
             for piece, end in zip(new, past, strict=True):
-                self.pieces[piece] = data[4 * at : 4 * end]
-                self.piece_bytes += ENTRY_BYTES + len(piece) + 4 * (end - at)
+                self.pieces.add(piece, data[4 * at : 4 * end])
                 at = end
+        known = self.pieces.young
         for word, pieces in cut.items():
-            ids = self.parts[word] = b"".join(map(self.pieces.__getitem__, pieces))
-            self.part_bytes += ENTRY_BYTES + len(word) + len(ids)
+            self.parts.add(word, b"".join(map(known.__getitem__, pieces)))
 
 
 _ENCODERS: dict[str, Encoder] = {}

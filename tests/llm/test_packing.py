@@ -129,3 +129,26 @@ def test_query_packs_every_document(spark, sf_dir):
     assert rows.doc_id.nunique() == docs.count()
     total = rows.length.sum()
     assert rows.sequence_id.nunique() <= -(-total // 2048) + 2
+
+
+def test_caches_turn_over_without_losing_what_recurs(monkeypatch):
+    from fraudspark.llm import tokens
+
+    monkeypatch.setattr(tokens, "CACHED_BYTES", 1 << 18)
+    encode, plain = tokens.Encoder(tokenizer_path()), tokens.Encoder(tokenizer_path())
+    encoded, real = [], encode.pieces_only
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            encoded.extend(texts[0].split())
+            return real.encode_batch_fast(texts, **options)
+
+    encode.pieces_only = Counted()
+    usual = [f"usual{chr(97 + i)}word" for i in range(20)]
+    letters = lambda n: "".join(chr(97 + int(d)) for d in str(n))
+    for n in range(400):
+        text = " ".join([*usual, *(f"once{letters(n * 50 + i)}" for i in range(50))])
+        assert encode.encode(text) == plain.whole([text])[0]
+    assert all(encoded.count(w) == 1 for w in usual[:4])  # 20,000 words have come since, and the caches turned over
+    held = [sum(tokens.ENTRY_BYTES + len(k) + len(v) for k, v in g.items()) for c in (encode.parts, encode.pieces) for g in (c.young, c.old)]
+    assert max(held) <= tokens.CACHED_BYTES + (1 << 15)
