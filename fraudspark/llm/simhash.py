@@ -286,6 +286,8 @@ TAIL_BITS = BITS - WORD_BITS  # a word is followed by bits of the next lane, so
 TAIL_PASSES = (1, 3, TAIL_BITS + 1)
 HALVES = ((WORD_BITS // 2 + 1, WORD_BITS // 2), (0, WORD_BITS // 2 + 1))  # (shift, width) of a word's two blocks
 LIKELY, ESTIMATE, LOOSE = 0, 2, 4  # standard deviations beyond the expected bits: first candidates, an estimate alone, all candidates
+SPANNING, MEMBERS, PAIRS = "spanning", "members", "pairs"  # what a group of a trie reports
+ODD_WORDS = 8  # numbers of 64 bits in an odd sketch
 
 
 def most_apart(similarity: float, deviations: float, lanes: int = LANES) -> int:
@@ -330,14 +332,16 @@ def long_fingerprints(docs: DataFrame, words_per_shingle: int = 5) -> DataFrame:
     return text.mapInArrow(per_batch(mark), f"doc_id {kind}, text_key long, fp long, lanes array<long>")
 
 
-def long_candidates(distinct: DataFrame, similarity: float, deviations: float, spanning: bool, rows_at_once: int = 60_000) -> DataFrame:
-    """(a, b): pairs of ``fp`` that meet in a word and whose ``lanes`` are as near as ``most_apart`` says; a < b.
+def long_meetings(distinct: DataFrame, similarity: float, report: str, deviations: float, rows_at_once: int = 60_000) -> DataFrame:
+    """What meets in a word and is as near as ``most_apart`` says of two lanes: (a, b), values of ``fp`` with a < b; or (fp).
 
-    Of ``distinct`` (fp, lanes, tree), pairs of one ``tree`` are left out. With ``spanning``, each group of a trie reports
-    pairs that span its trees; without, every pair. A trie gets the lane of its word and the next one only, and compares
-    by these; pairs that pass fetch all lanes, once for each pair.
+    Of ``distinct`` (fp, lanes, tree), pairs of one ``tree`` are left out. Each group of a trie reports pairs that span its
+    trees (``SPANNING``), the members of any pair (``MEMBERS``), or every pair (``PAIRS``). With ``PAIRS``, the columns
+    ``slack`` and ``odd`` of ``slacks`` tell pairs that cannot be alike, and these are not reported. A trie gets the lane of
+    its word and the next one only, and compares by these.
     """
     apart = most_apart(similarity, deviations, 2)
+    extra = ["slack", "odd"] if report == PAIRS else []
     tries = []
     for lane in range(LANES):
         for word in range(WORDS_PER_LANE):
@@ -345,9 +349,9 @@ def long_candidates(distinct: DataFrame, similarity: float, deviations: float, s
                 top = F.shiftright(F.col("lanes")[lane], word * WORD_BITS + shift).bitwiseAND(F.lit((1 << width) - 1)).cast("int")
                 own, following = F.col("lanes")[lane].alias("own"), F.col("lanes")[(lane + 1) % LANES].alias("following")
                 tries.append(F.struct(F.lit((lane * WORDS_PER_LANE + word) * 2 + half).alias("trie"), top.alias("top"), own, following))
-    rows = distinct.select("fp", "tree", F.explode(F.array(*tries)).alias("t")).select("t.*", "fp", "tree").repartition("trie", "top").sortWithinPartitions("trie", "top")
+    rows = distinct.select("fp", "tree", *extra, F.explode(F.array(*tries)).alias("t")).select("t.*", "fp", "tree", *extra).repartition("trie", "top").sortWithinPartitions("trie", "top")
 
-    def solve(trie: int, fp: np.ndarray, lanes: np.ndarray, tree: np.ndarray):
+    def solve(trie: int, fp: np.ndarray, lanes: np.ndarray, tree: np.ndarray, slack: np.ndarray | None = None, odd: np.ndarray | None = None):
         word, half = trie // 2 % WORDS_PER_LANE, trie % 2
         shift, width = HALVES[half]
         value = (lanes[:, 0] >> np.uint64(word * WORD_BITS)) & np.uint64((1 << WORD_BITS) - 1)
@@ -355,21 +359,35 @@ def long_candidates(distinct: DataFrame, similarity: float, deviations: float, s
         code = turned << np.uint64(TAIL_BITS) | lanes[:, 1] & np.uint64((1 << TAIL_BITS) - 1)
         order = np.lexsort((tree, code))
         code, fp, tree, columns = code[order], fp[order], tree[order], np.ascontiguousarray(lanes[order].T)
-        pairs = []
+        if slack is not None:
+            slack, odd = slack[order], np.ascontiguousarray(odd[order].T)
+        pairs, member = [], np.zeros(len(fp), bool)
 
         def near(a, b, _):
-            bits = np.where(tree[a] == tree[b], apart + 1, 0)
+            skip = tree[a] == tree[b]
+            if report == MEMBERS:
+                skip |= member[a] & member[b]
+            bits = np.where(skip, apart + 1, 0)
             left = np.flatnonzero(bits == 0)
             for column in columns:
                 bits[left] += np.bitwise_count(column[a[left]] ^ column[b[left]])
             close = bits <= apart
-            if spanning:
+            if report == SPANNING:
                 return close
-            pairs.append((a[close], b[close]))
-            return np.zeros(len(a), bool)
+            a, b = a[close], b[close]
+            if report == MEMBERS:
+                member[a] = member[b] = True
+            elif len(a):
+                differing = sum(np.bitwise_count(word[a] ^ word[b]).astype(np.int64) for word in odd)
+                alike = differing <= slack[a] + slack[b] + 1e-6
+                pairs.append((a[alike], b[alike]))
+            return np.zeros(len(close), bool)
 
         first = np.unique(tree, return_index=True, return_inverse=True)
+        spanning = report == SPANNING
         trie_links(code, width, WORD_BUDGET, WORD_BITS, TAIL_PASSES if spanning else TAIL_PASSES[-1:], near, first[1][first[2]], pairs if spanning else None)
+        if report == MEMBERS:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(fp[member]))], names=["fp"])
         for x, y in pairs:
             if len(x):
                 x, y = fp[x], fp[y]
@@ -382,26 +400,32 @@ def long_candidates(distinct: DataFrame, similarity: float, deviations: float, s
                 continue
             trie, top, fp, tree = (batch[c].to_numpy() for c in ("trie", "top", "fp", "tree"))
             lanes = np.stack([batch[c].to_numpy().view(np.uint64) for c in ("own", "following")], axis=1)
+            columns = [fp, lanes, tree]
+            if extra:
+                columns += [batch["slack"].to_numpy(), batch["odd"].flatten().to_numpy().view(np.uint64).reshape(-1, ODD_WORDS)]
             cuts = np.flatnonzero((trie[1:] != trie[:-1]) | (top[1:] != top[:-1])) + 1
             for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(fp)], strict=True):
                 if parts and (trie[a], top[a]) != last and (held >= rows_at_once or trie[a] != last[0]):
                     yield from solve(int(last[0]), *(np.concatenate(x) for x in zip(*parts, strict=True)))
                     parts, held = [], 0
                 last = (trie[a], top[a])
-                parts.append((fp[a:b], lanes[a:b], tree[a:b]))
+                parts.append(tuple(x[a:b] for x in columns))
                 held += b - a
         if parts:
             yield from solve(int(last[0]), *(np.concatenate(x) for x in zip(*parts, strict=True)))
 
-    met = rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(run, "fp long" if report == MEMBERS else "a long, b long").distinct()
+
+
+def long_candidates(distinct: DataFrame, similarity: float, deviations: float, met: DataFrame) -> DataFrame:
+    """Those pairs (a, b) of ``met`` whose ``lanes`` are as near as ``most_apart`` says; they fetch all lanes, once for each pair."""
     side = lambda c: distinct.select(F.col("fp").alias(c), F.col("lanes").alias(f"lanes_{c}"))
     bits = sum((F.bit_count(F.col("lanes_a")[i].bitwiseXOR(F.col("lanes_b")[i])) for i in range(LANES)), F.lit(0))
     return met.join(side("a"), "a").join(side("b"), "b").filter(bits <= most_apart(similarity, deviations)).select("a", "b")
 
 
-def verified(docs: DataFrame, marked: DataFrame, pairs: DataFrame, similarity: float, words_per_shingle: int) -> DataFrame:
-    """Those of ``pairs`` (a, b: values of fp) whose shingle sets have this Jaccard similarity; one text stands for its fp."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+def shingle_sets(docs: DataFrame, marked: DataFrame, wanted: DataFrame, words_per_shingle: int) -> DataFrame:
+    """(fp, shingles): the shingle sets of ``wanted`` (fp), as bytes; one text stands for its fp."""
     named = marked.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("doc_id", "text_key")).alias("row"))
     named = named.select("fp", F.col("row.doc_id").alias("id"), F.col("row.text_key").alias("text_key"))
     texts = docs.select(F.col("doc_id").alias("id"), F.xxhash64(whole_text()).alias("text_key"), whole_text().alias("text"))
@@ -412,8 +436,35 @@ def verified(docs: DataFrame, marked: DataFrame, pairs: DataFrame, similarity: f
         sets = [shingle_set(x, words_per_shingle).tobytes() for x in batch["text"].to_pylist()]
         return pa.RecordBatch.from_arrays([batch["fp"], pa.array(sets, pa.binary())], names=["fp", "shingles"])
 
-    sets = stored(texts.mapInArrow(per_batch(hashed), "fp long, shingles binary"), "simhash-sets")
+    return stored(texts.mapInArrow(per_batch(hashed), "fp long, shingles binary"), "simhash-sets")
 
+
+def slacks(sets: DataFrame, trees: DataFrame, similarity: float) -> DataFrame:
+    """(fp, slack, odd): two sets of different trees can be this similar only if their ``odd`` differ in at most the sum of their ``slack`` bits.
+
+    Sets of x and y shingles are similar if at most (x + y) (1 - similarity) / (1 + similarity) shingles are in one of them
+    only. Shingles that no other tree has are such, whatever the partner: ``slack`` is what a set's share of the bound leaves
+    besides them. Of the other shingles, ``odd`` has a bit for each place of the hash, set if an odd number fall there, so
+    a differing bit is at least one shingle in one of the sets only. No similar pair is lost by that.
+    """
+    def spread(batch: pa.RecordBatch) -> pa.RecordBatch:
+        shingles = [np.frombuffer(x, np.int64) for x in batch["shingles"].to_pylist()]
+        at = np.repeat(np.arange(len(shingles)), [len(x) for x in shingles])
+        return pa.RecordBatch.from_arrays([batch["fp"].take(pa.array(at)), batch["tree"].take(pa.array(at)), pa.array(np.concatenate(shingles))], names=["fp", "tree", "h"])
+
+    flat = sets.join(trees.select("fp", "tree"), "fp").mapInArrow(per_batch(spread, 50), "fp long, tree long, h long")
+    shared = flat.groupBy("h").agg(F.min("tree").alias("least"), F.max("tree").alias("most")).filter(F.col("least") != F.col("most"))
+    bits = [F.expr(f"bit_xor(if((shiftright(h, 6) & {ODD_WORDS - 1}) = {i}, shiftleft(1L, cast(h & 63 as int)), 0L))") for i in range(ODD_WORDS)]
+    found = flat.join(shared.select("h"), "h", "left_semi").groupBy("fp").agg(F.count("*").alias("n"), F.array(*bits).alias("odd"))
+    size = (F.octet_length("shingles") / 8).cast("double")
+    return sets.join(found, "fp", "left").select(
+        "fp", (size * ((1 - similarity) / (1 + similarity)) - size + F.coalesce("n", F.lit(0))).alias("slack"),
+        F.coalesce("odd", F.array(*[F.lit(0).cast("long")] * ODD_WORDS)).alias("odd"),
+    )
+
+
+def verified(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b: values of fp) whose shingle sets have this Jaccard similarity."""
     def compared(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep = []
         for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist(), strict=True):
@@ -433,27 +484,33 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, words_per_shingl
     """
     marked = stored(long_fingerprints(docs, words_per_shingle), "simhash-long")
     distinct = marked.select("fp", "lanes", F.col("fp").alias("tree")).dropDuplicates(["fp"])
-    return classed(marked.drop("lanes"), long_candidates(distinct, similarity, ESTIMATE, True))
+    return classed(marked.drop("lanes"), long_candidates(distinct, similarity, ESTIMATE, long_meetings(distinct, similarity, SPANNING, ESTIMATE)))
 
 
 def verified_documents(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5) -> DataFrame:
     """As ``near_duplicates``, for documents whose shingle sets have this Jaccard similarity or more.
 
     Long fingerprints give the candidates, and each is compared exactly. Likely pairs that span the groups come first, so
-    that a dense group is one tree before all pairs between different trees are listed under the looser bound.
+    that a dense group is one tree before pairs between different trees are looked for under the looser bound. Of these,
+    first only the members are told; their shared shingles then rule out pairs before any is listed, so that a large group
+    of texts that are not quite alike does not give all its pairs.
     """
     marked = stored(long_fingerprints(docs, words_per_shingle), "simhash-long")
     names = marked.drop("lanes")
     distinct = marked.select("fp", "lanes").dropDuplicates(["fp"])
+    alone = distinct.withColumn("tree", F.col("fp"))
+    pairs = stored(long_candidates(alone, similarity, LIKELY, long_meetings(alone, similarity, SPANNING, LIKELY)), "simhash-candidates")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    likely = verified(shingle_sets(docs, names, wanted, words_per_shingle), pairs, similarity)
 
-    def links(known: DataFrame, deviations: float, spanning: bool) -> DataFrame:
-        pairs = stored(long_candidates(known, similarity, deviations, spanning), "simhash-candidates")
-        return verified(docs, names, pairs, similarity, words_per_shingle)
-
-    likely = links(distinct.withColumn("tree", F.col("fp")), LIKELY, True)
     trees = connected_components(likely, "a", "b").withColumnRenamed("node", "fp").withColumnRenamed("component", "tree")
     known = stored(distinct.join(trees, "fp", "left").withColumn("tree", F.coalesce("tree", "fp")), "simhash-trees")
-    return classed(names, likely.unionByName(links(known, LOOSE, False)))
+    members = stored(long_meetings(known, similarity, MEMBERS, LOOSE), "simhash-members")
+    sets = shingle_sets(docs, names, members, words_per_shingle)
+    known = known.join(members, "fp", "left_semi")
+    marks = stored(known.join(slacks(sets, known, similarity), "fp"), "simhash-slacks")
+    pairs = stored(long_candidates(marks, similarity, LOOSE, long_meetings(marks, similarity, PAIRS, LOOSE)), "simhash-candidates")
+    return classed(names, likely.unionByName(verified(sets, pairs, similarity)))
 
 
 def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:

@@ -145,3 +145,46 @@ def test_spanning_pairs_are_links():
     a, b = forest.span(np.array([0, 1, 2, 0, 4]), np.array([1, 2, 3, 3, 5]))
     assert len(a) == 4 and set(zip(a.tolist(), b.tolist(), strict=True)) <= {(0, 1), (1, 2), (2, 3), (0, 3), (4, 5)}
     assert forest.flatten().tolist() == [0, 0, 0, 0, 4, 4]
+
+
+def test_a_large_group_below_the_similarity_gives_no_pairs(spark, monkeypatch):
+    """200 texts with three words of their own each are alike at 0.6 to 0.79: few pairs are listed, and each link is found."""
+    rng = random.Random(4)
+    words = rng.sample([f"t{i}" for i in range(10_000)], 150)
+    rows = []
+    for i in range(200):
+        copy = list(words)
+        for k, at in enumerate(rng.sample(range(150), 3)):
+            copy[at] = f"own{i}x{k}"
+        rows.append((i, " ".join(copy)))
+    rows += [(200 + i, f"{rows[i][1]} added{i}") for i in range(0, 40)]
+    sets = [set(simhash.shingle_set(t, 5).tolist()) for _, t in rows]
+    component = plain_components(sets, lambda a, b: len(a & b) >= 0.8 * len(a | b))
+    assert len(set(component)) > 100
+    listed, real = [], simhash.verified
+
+    def counted(sets, pairs, similarity):
+        listed.append(pairs.count())
+        return real(sets, pairs, similarity)
+
+    monkeypatch.setattr(simhash, "verified", counted)
+    found = {r.doc_id: r.component for r in simhash.verified_documents(spark.createDataFrame([(*r, "", "") for r in rows], SCHEMA)).collect()}
+    assert same_partition([found[i] for i in range(len(rows))], component)
+    assert listed[1] <= len(rows)
+
+
+def test_slack_keeps_every_similar_pair(spark):
+    rng = random.Random(6)
+    sets = {}
+    for fp in range(120):
+        base = range(300 * (fp % 4), 300 * (fp % 4) + rng.randint(60, 120))
+        sets[fp] = np.unique(np.array([(7919 * k * 0x9E3779B97F4A7C15) % (1 << 63) for k in [*rng.sample(base, len(base) - rng.randint(0, 12)), *(10_000 + 100 * fp + i for i in range(rng.randint(0, 12)))]], np.uint64))
+    frame = spark.createDataFrame([(fp, bytearray(x.tobytes())) for fp, x in sets.items()], "fp long, shingles binary")
+    trees = spark.createDataFrame([(fp, fp) for fp in sets], "fp long, tree long")
+    marks = {r.fp: r for r in simhash.slacks(frame, trees, 0.8).collect()}
+    apart = lambda a, b: sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(marks[a].odd, marks[b].odd, strict=True))
+    alike = lambda a, b: len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))
+    pairs = [(a, b) for a in sets for b in range(a)]
+    passed = [p for p in pairs if apart(*p) <= sum(marks[k].slack for k in p) + 1e-6]
+    similar = [p for p in pairs if alike(*p)]
+    assert len(similar) > 20 and set(similar) <= set(passed) and len(passed) < len(pairs) / 3
