@@ -238,12 +238,12 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, with_ids: bool = F
     def cut(batches):
         from pyspark import TaskContext
 
-        task, encode, seen = TaskContext.get().partitionId(), encoder(tokenizer).encode, {}
+        task, encode_all, seen = TaskContext.get().partitionId(), encoder(tokenizer).encode_all, {}
         end = END_ID.to_bytes(4, "little")
         for batch in (some.slice(at, TEXTS) for some in batches for at in range(0, some.num_rows, TEXTS)):
             rows, of, blobs = [], [], []
-            for i, text in enumerate(batch["text"].to_pylist()):
-                ids = encode(text) + end
+            for i, ids in enumerate(encode_all(batch["text"].to_pylist())):
+                ids += end
                 for piece, start in enumerate(range(0, len(ids) // 4, size)):
                     data = ids[4 * start : 4 * (start + size)]
                     length = len(data) // 4

@@ -152,3 +152,23 @@ def test_caches_turn_over_without_losing_what_recurs(monkeypatch):
     assert all(encoded.count(w) == 1 for w in usual[:4])  # 20,000 words have come since, and the caches turned over
     held = [sum(tokens.ENTRY_BYTES + len(k) + len(v) for k, v in g.items()) for c in (encode.parts, encode.pieces) for g in (c.young, c.old)]
     assert max(held) <= tokens.CACHED_BYTES + (1 << 15)
+
+
+def test_long_texts_are_cut_at_white_space_only(encoder, monkeypatch):
+    from fraudspark.llm import tokens
+
+    monkeypatch.setattr(tokens, "TOGETHER", 64)
+    texts = ["", "Don't  stop. " * 40, "x" * 300, "é½ aéb!\n" * 30, " ", "中 " * 50, "<|endoftext|> a " * 20, "tail"]
+    assert tokens.Encoder(tokenizer_path()).encode_all(texts) == encoder.whole(texts)
+
+
+def test_the_cache_holds_400_000_parts():
+    from fraudspark.llm import tokens
+
+    encode = tokens.Encoder(tokenizer_path())
+    letters = lambda n: "".join(chr(97 + int(d)) for d in str(n))
+    texts = [" ".join(f"{letters(a)}.{letters(b)}" for b in range(1000)) for a in range(400)]
+    first = encode.encode_all(texts)
+    assert first[-1] == encode.whole(texts[-1:])[0]
+    encode._learn = None  # nothing is new
+    assert encode.encode_all(texts) == first
