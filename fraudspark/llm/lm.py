@@ -171,6 +171,13 @@ def slot_counts(keys: np.ndarray, times: np.ndarray):
 MOST = 60_000  # a context seen more often has its counts scaled down to about this many, none below one
 
 
+#: Per byte: its bits; 1 or -1 for each; the ranges of bytes, first and past, that share its first 0 to 8 bits.
+BITS_OF = np.arange(256)[:, None] >> np.arange(7, -1, -1) & 1
+SIGNS = (2 * BITS_OF - 1).astype(np.float32)
+_WIDE = 256 >> np.arange(9)
+RANGES = (np.arange(256)[:, None] // _WIDE * _WIDE, np.arange(256)[:, None] // _WIDE * _WIDE + _WIDE)
+
+
 class Predictors:
     """Cumulative counts over bytes, so that any range of bytes is a difference; two bytes of memory each."""
 
@@ -188,30 +195,30 @@ class Predictors:
 
     def odds(self, keys: np.ndarray, own: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Log odds (8 bits, orders, windows), gates and bits (8, windows); ``own`` occurrences are left out of the counts."""
-        size = len(keys)
         byte = (keys & np.uint64(255)).astype(np.int64)
-        bits = np.stack([(byte >> (7 - d)) & 1 for d in range(8)])
-        x = np.empty((8, len(ORDERS), size), np.float32)
-        gates = np.zeros((8, size), np.int64)
+        sign, first, past = SIGNS[byte], RANGES[0][byte], RANGES[1][byte]
+        x, gates = np.empty((8, len(ORDERS), len(keys)), np.float32), np.zeros((len(keys), 8), np.int16)
         prior = np.float32(PRIOR)
         for i, k in enumerate(ORDERS):
             below = self.below[k].reshape(-1)
             row = context(keys, k)
-            mine = self.scale[k][row] * np.float32(own)
-            row *= 257
-            a, b = below[row].astype(np.float32), below[row + 256].astype(np.float32)
-            for d in range(8):
-                middle = below[row + (128 >> d) + (byte & ~((256 >> d) - 1))].astype(np.float32)
-                one = bits[d] == 1
-                ones, zeros = b - middle, middle - a
-                a, b = np.where(one, middle, a), np.where(one, b, middle)
-                if own:
-                    ones -= mine * one
-                    zeros -= mine * ~one
-                if k in STEPS:
-                    gates[d] = gates[d] * (len(STEPS[k]) + 1) + np.searchsorted(STEPS[k], ones + zeros, side="right")
-                x[d, i] = np.log((ones + prior) / (zeros + prior))
-        return x, gates * 8 + np.arange(8)[:, None], bits
+            mine = (self.scale[k][row] * np.float32(own))[:, None]
+            row = (row * 257)[:, None]
+            counts = (below.take(past + row) - below.take(first + row)).astype(np.float32)  # of the bytes that share the first 0 to 8 bits
+            same = counts[:, 1:] - mine if own else counts[:, 1:].copy()
+            other = counts[:, :8] - counts[:, 1:]
+            if k in STEPS:
+                total = same + other
+                gates *= len(STEPS[k]) + 1
+                for step in STEPS[k]:
+                    gates += total >= np.float32(step)
+            same += prior
+            other += prior
+            same /= other
+            np.log(same, out=same)
+            same *= sign
+            x[:, i] = same.T
+        return x, gates.T.astype(np.int64, order="C") * 8 + np.arange(8)[:, None], np.ascontiguousarray(BITS_OF[byte].T)
 
 
 STATES = math.prod(len(s) + 1 for s in STEPS.values())
