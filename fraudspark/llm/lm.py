@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +39,16 @@ FREQUENT = 200_000  # the most frequent words, at most so many, are broadcast wi
 LONGEST_FREQUENT = 64  # bytes of a broadcast word
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+PLACE_BITS = 39  # of 63 for the place of a window; a slot needs the others
+TIMES_BITS = 40  # of 64 for how often a task sees a window; a slot needs the others
 
 
-BLOCK = 1 << 18  # bytes of texts turned to windows at once, at least one text
+BLOCK = 1 << 17  # bytes of texts turned to windows at once, at least one text
+SCORED = 1 << 20  # bytes of texts scored at once, at least one text
 CHUNK = 1 << 21  # windows sorted at once
 MERGED = 1 << 21  # distinct windows that are held between chunks
+AT_ONCE = 2_000  # windows or slots computed at once, so that they stay in a core's cache
+GROUP = 16 * 2 * AT_ONCE  # windows whose slots are looked up together
 
 _POWERS: list[np.ndarray] = []
 
@@ -52,21 +58,20 @@ def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS[0]) <= size:
         _POWERS[:] = []
         for base in (int(MULTIPLIER), pow(int(MULTIPLIER), -1, 1 << 64)):
-            factors = np.full(max(size, BLOCK) + 1, base, np.uint64)
+            factors = np.full(max(size, 2 * BLOCK) + 1, base, np.uint64)
             factors[0] = 1
             _POWERS.append(np.cumprod(factors))
     return _POWERS[0], _POWERS[1]
 
 
-#: Per byte: lower-cased and one more, as numbers of 64 bits; whether it ends a word.
-FOLDED = np.array([(c + 32 if 65 <= c <= 90 else c) + 1 for c in range(256)], np.uint64)
-ENDS_WORD = np.array([c <= 32 or c == END for c in range(256)])
+#: Per byte: lower-cased and one more; 255, which is never part of a word, stays.
+FOLDED = bytes(min((c + 32 if 65 <= c <= 90 else c) + 1, 255) for c in range(256))
 
 
 def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Per byte (texts end to end, each with its end mark) the byte, the five before it and a hash of the word so far, as one number; and where texts start."""
-    gap = bytes([END]) * 7
-    raw = np.frombuffer(gap + b"".join(t + gap + gap[:1] for t in texts), np.uint8)  # after its end mark, a text is followed by seven more
+    gap = bytes([END]) * 8
+    raw = np.frombuffer(b"".join([gap[:7], gap.join(texts), gap]), np.uint8)  # after its end mark, a text is followed by seven more
     size = np.fromiter((len(t) for t in texts), np.int64, len(texts)) + 8
     data = raw[7:]
     last_eight = np.ndarray(len(data), ">u8", raw, strides=(1,))
@@ -80,13 +85,13 @@ def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return keys[keep], np.r_[0, np.cumsum(size - 7)]
 
 
-def blocks(texts: list[bytes]):
-    """The texts in runs of about ``BLOCK`` bytes."""
+def blocks(texts: list[bytes], size: int = BLOCK):
+    """The texts in runs of about so many bytes."""
     part, held = [], 0
     for text in texts:
         part.append(text)
         held += len(text)
-        if held >= BLOCK:
+        if held >= size:
             yield part
             part, held = [], 0
     if part:
@@ -140,13 +145,15 @@ def word_hashes(data: np.ndarray) -> np.ndarray:
     size = len(data)
     power, back = powers(size)
     total = np.zeros(size + 1, np.uint64)
-    np.cumsum(FOLDED[data] * power[:size], out=total[1:])
-    start = np.zeros(size + 1, np.int64)  # of the stretch before each byte
-    cut = np.flatnonzero(ENDS_WORD[data]) + 1
-    start[cut] = cut
-    start = np.maximum.accumulate(start)[:-1]
-    stretch = (total[:-1] - total[start]) * back[start]
-    return (stretch * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - HASH_BITS[WORD])
+    np.multiply(np.frombuffer(data.tobytes().translate(FOLDED), np.uint8), power[:size], out=total[1:])
+    np.cumsum(total, out=total)
+    start = np.r_[0, np.flatnonzero((data <= 32) | (data == END)) + 1]  # of each stretch
+    length = np.diff(start, append=size)
+    stretch = total[:-1]
+    stretch -= np.repeat(total[start], length)
+    stretch *= np.repeat(back[start] * np.uint64(0xD6E8FEB86659FD93), length)
+    stretch >>= np.uint64(64 - HASH_BITS[WORD])
+    return stretch
 
 
 def context(keys: np.ndarray, order: int) -> np.ndarray:
@@ -161,9 +168,14 @@ def context(keys: np.ndarray, order: int) -> np.ndarray:
 
 def slot_counts(keys: np.ndarray, times: np.ndarray):
     """(order, slots, numbers): how often each byte followed each hashed context, of distinct windows and their numbers."""
-    byte = (keys & np.uint64(255)).astype(np.int64)
+    byte, times = (keys & np.uint64(255)).astype(np.int64), times.astype(np.uint64)
     for k in ORDERS:
-        slot, n = merge([(context(keys, k) << 8 | byte, times)])
+        both = (context(keys, k) << 8 | byte).astype(np.uint64) << np.uint64(TIMES_BITS) | times  # sorted as one number, which is much faster than by place
+        both.sort()
+        slot = both >> np.uint64(TIMES_BITS)
+        first = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
+        n = np.add.reduceat(both & np.uint64((1 << TIMES_BITS) - 1), first).astype(np.int64)
+        slot = slot[first].astype(np.int64)
         for at in range(0, len(slot), 200_000):
             yield k, slot[at : at + 200_000], n[at : at + 200_000]
 
@@ -171,54 +183,108 @@ def slot_counts(keys: np.ndarray, times: np.ndarray):
 MOST = 60_000  # a context seen more often has its counts scaled down to about this many, none below one
 
 
-#: Per byte: its bits; 1 or -1 for each; the ranges of bytes, first and past, that share its first 0 to 8 bits.
+#: Per byte and place of a bit: the bit; the bits before it, with a leading one.
 BITS_OF = np.arange(256)[:, None] >> np.arange(7, -1, -1) & 1
-SIGNS = (2 * BITS_OF - 1).astype(np.float32)
-_WIDE = 256 >> np.arange(9)
-RANGES = (np.arange(256)[:, None] // _WIDE * _WIDE, np.arange(256)[:, None] // _WIDE * _WIDE + _WIDE)
+NODES = (np.arange(256)[:, None] | 256) >> np.arange(8, 0, -1)
+ONES = BITS_OF.astype(np.float32)
+SIGNS = 2 * ONES - 1
+_MASKS = np.ascontiguousarray(np.negative(BITS_OF.astype(np.uint16)).T)  # 65535 where the bit is a one
+_NODES = np.ascontiguousarray(NODES.T)
+
+
+def trees(counts: np.ndarray, rows: int = 4096) -> None:
+    """Turns each row's 256 counts of bytes, in place, to their sum and then, per node, the sum of the bytes that go on with a zero."""
+    for at in range(0, len(counts), rows):
+        out = counts[at : at + rows]
+        level, width = out.copy(), 128
+        while width:
+            out[:, width : 2 * width] = level[:, 0::2]
+            level = level[:, 0::2] + level[:, 1::2]
+            width //= 2
+        out[:, 0] = level[:, 0]
 
 
 class Predictors:
-    """Cumulative counts over bytes, so that any range of bytes is a difference; two bytes of memory each."""
+    """Counts of bytes as trees over their bits, two bytes of memory each."""
 
     def __init__(self, entries: dict[int, tuple[np.ndarray, np.ndarray]]):
-        self.below, self.scale = {}, {}
+        self.tree, self.scale = {}, {}
         for k in ORDERS:
             size = 1 << HASH_BITS[k]
-            table = np.zeros((size, 257), np.uint16)
+            table = np.zeros((size, 256), np.uint16)
             slot, n = entries.get(k, (np.zeros(0, np.int64), np.zeros(0)))
             row = slot >> 8
             excess = np.maximum(np.bincount(row, n, size) / MOST, 1)
-            table[row, (slot & 255) + 1] = np.maximum(n / excess[row], 1)
-            self.below[k] = np.cumsum(table, axis=1, dtype=np.uint16, out=table)
+            table[row, slot & 255] = np.maximum(n / excess[row], 1)
+            trees(table)
+            self.tree[k] = table.reshape(-1)
             self.scale[k] = (1 / excess).astype(np.float32)  # what one occurrence counts
 
-    def odds(self, keys: np.ndarray, own: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Log odds (8 bits, orders, windows), gates and bits (8, windows); ``own`` occurrences are left out of the counts."""
-        byte = (keys & np.uint64(255)).astype(np.int64)
-        sign, first, past = SIGNS[byte], RANGES[0][byte], RANGES[1][byte]
-        x, gates = np.empty((8, len(ORDERS), len(keys)), np.float32), np.zeros((len(keys), 8), np.int16)
+    def slot_odds(self, k: int, slots: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray | None]:
+        """Log odds (slots, 8 bits) of an order's slots and, where the gate asks, how many of its steps are reached."""
+        x, reached = np.empty((len(slots), 8), np.float32), np.zeros((len(slots), 8), np.int16) if k in STEPS else None
+        seen = np.empty((9, AT_ONCE), np.uint16)  # of the bytes that share the first 0 to 8 bits
         prior = np.float32(PRIOR)
-        for i, k in enumerate(ORDERS):
-            below = self.below[k].reshape(-1)
-            row = context(keys, k)
-            mine = (self.scale[k][row] * np.float32(own))[:, None]
-            row = (row * 257)[:, None]
-            counts = (below.take(past + row) - below.take(first + row)).astype(np.float32)  # of the bytes that share the first 0 to 8 bits
-            same = counts[:, 1:] - mine if own else counts[:, 1:].copy()
-            other = counts[:, :8] - counts[:, 1:]
-            if k in STEPS:
-                total = same + other
-                gates *= len(STEPS[k]) + 1
+        for at in range(0, len(slots), AT_ONCE):
+            slot = slots[at : at + AT_ONCE]
+            byte, row = slot & 255, slot & ~255
+            ones = _MASKS.take(byte, 1)
+            node = _NODES.take(byte, 1)
+            node += row
+            zeros = self.tree[k].take(node)
+            seen = seen[:, : len(slot)]
+            seen[0] = self.tree[k].take(row)
+            zeros ^= ones
+            zeros -= ones
+            for d in range(8):  # its zeros, or what is left without them
+                np.bitwise_and(seen[d], ones[d], out=seen[d + 1])
+                seen[d + 1] += zeros[d]
+            other = (seen[:8] - seen[1:]).astype(np.float32)
+            same = seen[1:].astype(np.float32)
+            if own:
+                same -= self.scale[k].take(row >> 8) * np.float32(own)
+            if reached is not None:
+                total, steps = same + other, np.zeros(same.shape, np.int16)
                 for step in STEPS[k]:
-                    gates += total >= np.float32(step)
+                    steps += total >= np.float32(step)
+                reached[at : at + AT_ONCE] = steps.T
             same += prior
             other += prior
             same /= other
             np.log(same, out=same)
-            same *= sign
-            x[:, i] = same.T
-        return x, gates.T.astype(np.int64, order="C") * 8 + np.arange(8)[:, None], np.ascontiguousarray(BITS_OF[byte].T)
+            x[at : at + AT_ONCE] = same.T
+        x *= SIGNS.take(slots & 255, 0)
+        return x, reached
+
+    def odds(self, keys: np.ndarray, own: int = 0) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Per order log odds (windows, 8 bits), gates (windows, 8) and bytes; ``own`` occurrences are left out of the counts.
+
+        Windows that share an order's slot share its odds, and slots are looked up in ascending order.
+        """
+        byte, place = (keys & np.uint64(255)).astype(np.int64), np.arange(len(keys))
+        x, gates, within = [], np.zeros((len(keys), 8), np.int16), np.empty(len(keys), np.int64)
+        for k in ORDERS:
+            both = (context(keys, k) << 8 | byte) << PLACE_BITS | place
+            both.sort()
+            slot = both >> PLACE_BITS
+            first = np.r_[True, slot[1:] != slot[:-1]][: len(slot)]
+            within[both & ((1 << PLACE_BITS) - 1)] = np.cumsum(first) - 1
+            odds, reached = self.slot_odds(k, slot[first], own)
+            x.append(odds.take(within, 0))
+            if reached is not None:
+                gates *= len(STEPS[k]) + 1
+                gates += reached.take(within, 0)
+        gates *= 8
+        gates += np.arange(8, dtype=np.int16)
+        return x, gates, byte
+
+
+def one_of(mixed: np.ndarray) -> np.ndarray:
+    """Probability of a one at these log odds."""
+    out = np.negative(mixed)
+    np.exp(out, out=out)
+    out += 1
+    return np.reciprocal(out, out=out)
 
 
 STATES = math.prod(len(s) + 1 for s in STEPS.values())
@@ -232,40 +298,52 @@ class Mixer:
         self.weights = np.full((len(ORDERS), GATES), 0.3)
         self.squares = np.full((len(ORDERS), GATES), 1e-2)
         self.cells = np.zeros(256 * CELLS * 2)  # by node, cell and bit
+        self.gradient, self.total = np.zeros((len(ORDERS), GATES)), np.zeros(GATES)  # of what was seen since the last step
         self.bits = 0.0
 
-    @staticmethod
-    def node(bits: np.ndarray) -> np.ndarray:
-        """The bits before each bit, with a leading one."""
-        out = np.ones(bits.shape, np.int64)
-        for d in range(1, 8):
-            out[d] = out[d - 1] << 1 | bits[d - 1]
-        return out
-
-    def mix(self, x: np.ndarray, gates: np.ndarray) -> np.ndarray:
+    def mix(self, x: list[np.ndarray], gates: np.ndarray) -> np.ndarray:
         weights = self.weights.astype(np.float32)
-        mixed = weights[0][gates] * x[:, 0]
+        mixed = weights[0][gates]
+        mixed *= x[0]
         for i in range(1, len(ORDERS)):
-            mixed += weights[i][gates] * x[:, i]
+            part = weights[i][gates]
+            part *= x[i]
+            mixed += part
         return mixed
 
-    def learn(self, x, gates, bits, times, rate: float = 0.05) -> None:
+    def learn(self, x, gates, byte, times) -> None:
+        """A step of learning for each 4,000 windows."""
+        for start in range(0, len(byte), 2 * AT_ONCE):
+            for at in (start, start + AT_ONCE):
+                some = slice(at, at + AT_ONCE)
+                self.see([odds[some] for odds in x], gates[some], byte[some], times[some])
+            self.step()
+
+    def see(self, x, gates, byte, times) -> None:
+        """Adds these windows to what the next step learns from."""
+        gates = gates.astype(np.int64)
         mixed = self.mix(x, gates)
         cell, share = self._cell(mixed)
-        at = self.node(bits) * CELLS + cell
-        heavy = np.broadcast_to(times.astype(np.float32), bits.shape)
-        at = (at << 1 | bits).ravel()
-        upper = (heavy * share).ravel()
-        self.cells += np.bincount(at, heavy.ravel() - upper, len(self.cells))
+        cell += NODES.take(byte, 0) * CELLS
+        at = (cell << 1 | BITS_OF.take(byte, 0)).ravel()
+        heavy = np.repeat(times.astype(np.float32), 8)
+        upper = heavy * share.ravel()
+        self.cells += np.bincount(at, heavy - upper, len(self.cells))
         self.cells += np.bincount(at + 2, upper, len(self.cells))
-        error = (bits - 1 / (1 + np.exp(-mixed))) * heavy
+        error = ONES.take(byte, 0)
+        error -= one_of(mixed)
+        error *= heavy.reshape(error.shape)
         flat = gates.ravel()
-        total = np.bincount(flat, heavy.ravel(), GATES)
-        gradient = np.stack([np.bincount(flat, (error * x[:, i]).ravel(), GATES) for i in range(len(ORDERS))])
-        gradient /= np.maximum(total, 1)
+        self.total += np.bincount(flat, heavy, GATES)
+        for i in range(len(ORDERS)):
+            self.gradient[i] += np.bincount(flat, (error * x[i]).ravel(), GATES)
+
+    def step(self, rate: float = 0.05) -> None:
+        gradient = self.gradient / np.maximum(self.total, 1)
         self.squares += gradient**2
         self.weights += rate * gradient / np.sqrt(self.squares)
-        self.bits += total.sum()
+        self.bits += self.total.sum()
+        self.gradient[:], self.total[:] = 0, 0
 
     @staticmethod
     def _cell(mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -279,14 +357,25 @@ class Mixer:
         zeros, ones = self.cells[0::2], self.cells[1::2]
         return ((ones + 8 * middle) / (zeros + ones + 8)).astype(np.float32)
 
-    def cost(self, x, gates, bits, table: np.ndarray) -> np.ndarray:
+    def cost(self, x, gates, byte, table: np.ndarray) -> np.ndarray:
         """Bits that each window's last byte costs."""
-        mixed = self.mix(x, gates)
+        parts = (slice(at, at + AT_ONCE) for at in range(0, len(byte), AT_ONCE))
+        return np.concatenate([self._cost([odds[some] for odds in x], gates[some], byte[some], table) for some in parts])
+
+    def _cost(self, x, gates, byte, table: np.ndarray) -> np.ndarray:
+        mixed = self.mix(x, gates.astype(np.int64))
         cell, share = self._cell(mixed)
-        at = self.node(bits) * CELLS + cell
-        p = (1 / (1 + np.exp(-mixed)) + table[at] * (1 - share) + table[at + 1] * share) / 2
-        p = np.clip(p, 1e-6, 1 - 1e-6)
-        return -np.log2(np.where(bits == 1, p, 1 - p)).sum(axis=0)
+        cell += NODES.take(byte, 0) * CELLS
+        low, p = table[cell], table[1:][cell]
+        p -= low
+        p *= share
+        p += low
+        p += one_of(mixed)
+        p *= np.float32(0.5)
+        np.clip(p, 1e-6, 1 - 1e-6, out=p)
+        p *= SIGNS.take(byte, 0)  # of a one, to that of the bit
+        p += 1 - ONES.take(byte, 0)
+        return -np.log2(p, out=p).sum(axis=1)
 
 
 class Scorer:
@@ -294,27 +383,61 @@ class Scorer:
 
     def __init__(self, predictors: Predictors, mixer: Mixer):
         self.predictors, self.mixer, self.table = predictors, mixer, mixer.refinement()
-        self.known = np.full(1 << CACHE_BITS, np.uint64(0xFFFFFFFFFFFFFFFF))
-        self.cost = np.zeros(1 << CACHE_BITS, np.float32)
+        self.known = np.zeros(1 << CACHE_BITS, [("window", np.uint64), ("cost", np.float32)])
+        self.known["window"] = 0xFFFFFFFFFFFFFFFF
 
     def bits(self, texts: list[bytes]) -> np.ndarray:
-        return np.concatenate([self._bits(part) for part in blocks(texts)]) if texts else np.zeros(0)
+        return np.concatenate([self._bits(part) for part in blocks(texts, SCORED)]) if texts else np.zeros(0)
+
+    @staticmethod
+    def _places(keys: np.ndarray) -> np.ndarray:
+        return ((keys * MULTIPLIER) >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
 
     def _bits(self, texts: list[bytes]) -> np.ndarray:
-        keys, starts = windows(texts)
-        slot = (keys * MULTIPLIER) >> np.uint64(64 - CACHE_BITS)
-        new = np.flatnonzero(self.known[slot] != keys)
-        cost = self.cost[slot]
+        parts = [windows(part) for part in blocks(texts)]
+        keys = np.concatenate([k for k, _ in parts])
+        lengths = np.concatenate([np.diff(starts) for _, starts in parts])
+        places = self._places(keys)
+        found = self.known.take(places)
+        new = np.flatnonzero(found["window"] != keys)
+        cost = found["cost"].astype(np.float64)
         if len(new):
-            distinct, inverse = np.unique(keys[new], return_inverse=True)
-            fresh = np.concatenate([self.mixer.cost(*self.predictors.odds(distinct[a : a + 8_000]), self.table) for a in range(0, len(distinct), 8_000)])
-            cost[new] = fresh[inverse]
-            place = (distinct * MULTIPLIER) >> np.uint64(64 - CACHE_BITS)
-            self.known[place], self.cost[place] = distinct, fresh  # of windows in one place the last stays, in both
-        return np.add.reduceat(cost.astype(np.float64), starts[:-1])
+            wanted = keys[new]
+            distinct = np.sort(wanted)
+            distinct = distinct[np.r_[True, distinct[1:] != distinct[:-1]]]
+            fresh = np.concatenate([self.mixer.cost(*self.predictors.odds(distinct[a : a + GROUP]), self.table) for a in range(0, len(distinct), GROUP)])
+            place = self._places(distinct)
+            self.known["window"][place], self.known["cost"][place] = distinct, fresh  # of windows in one place the last stays, in both
+            found = self.known.take(places[new])
+            cost[new] = found["cost"]
+            other = np.flatnonzero(found["window"] != wanted)
+            cost[new[other]] = fresh[np.searchsorted(distinct, wanted[other])]
+        return np.add.reduceat(cost, np.cumsum(lengths) - lengths)
 
 
 WORDS, TEXTS = -1, -2  # kinds of partial counts beside the orders
+COUNTS = {"word": pa.binary(), "n": pa.int64(), "block": pa.int32(), "slots": pa.binary(), "times": pa.binary()}
+
+
+def packed(slot: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, list[bytes], list[bytes]]:
+    """Blocks of 2^16 slots, and for each the ascending slots in it (two bytes each) and their numbers (eight)."""
+    block = slot >> 16
+    first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]][: len(block)])
+    ends = [*first[1:], len(slot)]
+    low, n = slot.astype("<u2"), n.astype("<i8")
+    return block[first], [low[a:b].tobytes() for a, b in zip(first, ends, strict=True)], [n[a:b].tobytes() for a, b in zip(first, ends, strict=True)]
+
+
+def summed(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of a block's counts, of all its rows."""
+    total = np.zeros(1 << 16, np.int64)
+    for batch in batches:
+        for slots, times in zip(batch["slots"], batch["times"], strict=True):
+            total[np.frombuffer(slots.as_buffer(), "<u2")] += np.frombuffer(times.as_buffer(), "<i8")
+    found = np.flatnonzero(total)
+    out = [key[0], key[1], found.astype("<u2").tobytes(), total[found].astype("<f4").tobytes()]
+    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    yield pa.RecordBatch.from_arrays([pa.array([x.as_py() if isinstance(x, pa.Scalar) else x], t) for x, t in zip(out, kinds, strict=True)], names=["kind", "block", "slots", "times"])
 
 
 def training(docs: DataFrame) -> DataFrame:
@@ -328,13 +451,15 @@ def texts_of(batch: pa.RecordBatch, rows: int = 500):
 
 
 def partial_counts(docs: DataFrame) -> DataFrame:
-    """(kind, slot, word, n): counts of each task over its training texts; kinds are orders, words and texts."""
-    def rows(kind: int, slot=None, word=None, n=()):
-        size = len(n)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(size, kind, np.int32)), pa.array(slot) if slot is not None else pa.nulls(size, pa.int64()), pa.array(word, pa.binary()) if word is not None else pa.nulls(size, pa.binary()), pa.array(n, pa.int64())],
-            names=["kind", "slot", "word", "n"],
-        )
+    """(kind, word, n, block, slots, times): counts of each task over its training texts; kinds are orders, words and texts.
+
+    An order's counts are a row for each block of contexts, with its slots and their numbers as arrays.
+    """
+    def rows(kind: int, word=None, n=None, blocks=None):
+        size = len(blocks[0] if blocks else n)
+        given = {"word": word, "n": n} | dict(zip(("block", "slots", "times"), blocks or (), strict=False))
+        columns = [pa.array(given[c], t) if given.get(c) is not None else pa.nulls(size, t) for c, t in COUNTS.items()]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int32)), *columns], names=["kind", *COUNTS])
 
     def words_out(words: Counter):
         items = list(words.items())
@@ -361,13 +486,13 @@ def partial_counts(docs: DataFrame) -> DataFrame:
             yield from ready
             ready.clear()
             for kind, slot, n in slot_counts(keys, times):
-                yield rows(kind, slot=slot, n=n)
+                yield rows(kind, blocks=packed(slot, n))
         yield from ready
         yield from words_out(words)
         if total:
             yield rows(TEXTS, n=[total])
 
-    return stored(training(docs).mapInArrow(count, "kind int, slot long, word binary, n long"), "lm-counts")
+    return stored(training(docs).mapInArrow(count, "kind int, word binary, n long, block int, slots binary, times binary"), "lm-counts")
 
 
 class Model:
@@ -391,9 +516,14 @@ def unfolded(model: Model) -> Predictors | Scorer:
 
 def context_counts(partials: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Counts per order; at most 256 slots per context, and contexts are bounded by ``HASH_BITS``."""
-    found = partials.filter("kind >= 0").groupBy("kind", "slot").agg(F.sum("n").alias("n")).select(F.col("kind").cast("tinyint"), F.col("slot").cast("int"), F.col("n").cast("float")).toArrow()
-    kind, slot, n = (found[c].to_numpy() for c in ("kind", "slot", "n"))
-    return {k: (slot[kind == k], n[kind == k]) for k in ORDERS}
+    sums = partials.filter("kind >= 0").select("kind", "block", "slots", "times").groupBy("kind", "block")
+    found = sums.applyInArrow(summed, "kind int, block int, slots binary, times binary").toArrow().to_pylist()
+    entries = {}
+    for k in ORDERS:
+        some = [r for r in found if r["kind"] == k]
+        slots = [np.frombuffer(r["slots"], "<u2").astype(np.int32) | r["block"] << 16 for r in some]
+        entries[k] = np.concatenate([np.zeros(0, np.int32), *slots]), np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(r["times"], "<f4") for r in some)])
+    return entries
 
 
 def fitted_mixer(docs: DataFrame, entries: dict[int, tuple[np.ndarray, np.ndarray]]) -> Mixer:
@@ -404,9 +534,9 @@ def fitted_mixer(docs: DataFrame, entries: dict[int, tuple[np.ndarray, np.ndarra
         predictors, mixer = unfolded(shared.value), Mixer()
         for keys, times in distinct_windows(batches):
             order = np.random.default_rng(len(keys)).permutation(len(keys))
-            for at in range(0, len(keys), 4_000):
-                some = order[at : at + 4_000]
-                mixer.learn(*predictors.odds(keys[some], 1), times[some])
+            for start in range(0, len(keys), GROUP):
+                group = order[start : start + GROUP]
+                mixer.learn(*predictors.odds(keys[group], 1), times[group])
         if mixer.bits:
             values = np.concatenate([mixer.weights.ravel() * mixer.bits, mixer.cells.ravel(), [mixer.bits]])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values)], names=["place", "value"])

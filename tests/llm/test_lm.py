@@ -110,3 +110,58 @@ def test_empty_table_and_no_training_rows(spark):
     assert lm.score_texts(spark.createDataFrame([], SCHEMA)).count() == 0
     only = [r for r in rows() if held(r[0])][:3]
     assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in lm.score_texts(spark.createDataFrame(only, SCHEMA)).collect()) == base_scores(only)
+
+
+def plain_counts(texts):
+    keys = lm.windows(texts)[0]
+    return {k: Counter((lm.context(keys, k) << 8 | (keys & np.uint64(255)).astype(np.int64)).tolist()) for k in lm.ORDERS}
+
+
+def test_counts_travel_as_a_row_per_block_of_contexts(spark):
+    given = [(i, t, s, n) for i, t, s, n in rows() if t and len(t) < 1000 and not held(i)]
+    partials = lm.partial_counts(spark.createDataFrame(given, SCHEMA).repartition(2))
+    wanted = plain_counts([t.encode() for _, t, *_ in given])
+    blocks = len({(k, slot >> 16) for k in lm.ORDERS for slot in wanted[k]})
+    assert blocks <= partials.filter("kind >= 0").count() <= 2 * blocks < sum(map(len, wanted.values()))
+    found = lm.context_counts(partials)
+    assert {k: dict(zip(s.tolist(), n.tolist(), strict=True)) for k, (s, n) in found.items()} == wanted
+
+
+@pytest.mark.parametrize("own", [0, 1])
+def test_odds_against_counting(own):
+    texts = [t.encode() for _, t, *_ in rows(40) if t and len(t) < 1000]
+    counts, keys = plain_counts(texts), lm.windows(texts)[0]
+    entries = {k: (np.array(list(c), np.int64), np.array(list(c.values()))) for k, c in counts.items()}
+    x, gates, byte = lm.Predictors(entries).odds(keys, own)
+    assert byte.tolist() == [b for t in texts for b in t + b"\xff"]
+    for i in range(0, len(keys), 97):
+        state = [0] * 8
+        for at, k in enumerate(lm.ORDERS):
+            row = int(lm.context(keys[i : i + 1], k)[0]) << 8
+            for d in range(8):
+                with_bit = [sum(counts[k][row | b] for b in range(256) if b >> 7 - d == int(byte[i]) >> 7 - d ^ other) for other in (0, 1)]
+                same, other = with_bit[0] - own, with_bit[1]
+                sign = 1 if int(byte[i]) >> 7 - d & 1 else -1
+                assert x[at][i, d] == pytest.approx(sign * math.log((same + lm.PRIOR) / (other + lm.PRIOR)), abs=1e-5)
+                if k in lm.STEPS:
+                    state[d] = state[d] * (len(lm.STEPS[k]) + 1) + sum(same + other >= s for s in lm.STEPS[k])
+        assert gates[i].tolist() == [s * 8 + d for d, s in enumerate(state)]
+
+
+def test_slots_are_looked_up_once_and_in_order(monkeypatch):
+    keys = lm.windows([t.encode() for _, t, *_ in rows() if t and len(t) < 1000])[0]
+    asked, real = {}, lm.Predictors.slot_odds
+    monkeypatch.setattr(lm.Predictors, "slot_odds", lambda self, k, slots, own: asked.__setitem__(k, slots) or real(self, k, slots, own))
+    lm.Predictors({}).odds(keys)
+    assert all((np.diff(s) > 0).all() for s in asked.values())
+    assert sum(map(len, asked.values())) < len(keys) * len(lm.ORDERS) / 2
+
+
+def test_windows_that_share_a_place_of_the_cache_cost_their_own(monkeypatch):
+    predictors, mixer = model()
+    texts = [t.encode() for _, t, *_ in rows() if t and len(t) < 1000]
+    wanted = lm.Scorer(predictors, mixer).bits(texts)
+    monkeypatch.setattr(lm, "CACHE_BITS", 3)
+    crowded = lm.Scorer(predictors, mixer)
+    assert np.allclose(crowded.bits(texts), wanted, rtol=1e-6)
+    assert np.allclose(crowded.bits(texts[::-1]), wanted[::-1], rtol=1e-6)
