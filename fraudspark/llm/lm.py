@@ -15,7 +15,6 @@ next) always costs the same, so each task computes it once and then looks it up.
 from __future__ import annotations
 
 import math
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -44,7 +43,7 @@ TIMES_BITS = 40  # of 64 for how often a task sees a window; a slot needs the ot
 
 
 BLOCK = 1 << 17  # bytes of texts turned to windows at once, at least one text
-SCORED = 1 << 20  # bytes of texts scored at once, at least one text
+SCORED = 1 << 19  # bytes of texts scored at once, at least one text
 CHUNK = 1 << 21  # windows sorted at once
 MERGED = 1 << 21  # distinct windows that are held between chunks
 AT_ONCE = 2_000  # windows or slots computed at once, so that they stay in a core's cache
@@ -112,12 +111,15 @@ def counted(texts: list[bytes]):
 
 
 def merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct windows of several such lists, and the sums of their numbers."""
-    keys = np.concatenate([k for k, _ in parts])
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    return keys[first], np.add.reduceat(np.concatenate([n for _, n in parts])[order], first)
+    """Distinct windows of several such lists, each ascending, and the sums of their numbers."""
+    keys, times = parts[0][0], parts[0][1].copy()
+    for more, n in parts[1:]:
+        at = np.searchsorted(keys, more)
+        here = keys.take(at, mode="clip") == more
+        times[at[here]] += n[here]
+        here = ~here
+        keys, times = np.insert(keys, at[here], more[here]), np.insert(times, at[here], n[here])
+    return keys, times
 
 
 def distinct_windows(batches):
@@ -394,9 +396,8 @@ class Scorer:
         return ((keys * MULTIPLIER) >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
 
     def _bits(self, texts: list[bytes]) -> np.ndarray:
-        parts = [windows(part) for part in blocks(texts)]
-        keys = np.concatenate([k for k, _ in parts])
-        lengths = np.concatenate([np.diff(starts) for _, starts in parts])
+        keys, starts = zip(*map(windows, blocks(texts)), strict=True)
+        keys, lengths = np.concatenate(keys), np.concatenate([np.diff(s) for s in starts])
         places = self._places(keys)
         found = self.known.take(places)
         new = np.flatnonzero(found["window"] != keys)
@@ -496,22 +497,18 @@ def partial_counts(docs: DataFrame) -> DataFrame:
 
 
 class Model:
-    """What a scoring task needs: context counts, mixer, frequent words. Sent as arrays, unfolded once per worker."""
+    """What a task needs: context counts and, to score, mixer and frequent words. Sent as arrays, which are dropped when a worker unfolds them."""
 
-    def __init__(self, entries: dict[int, tuple[np.ndarray, np.ndarray]], mixer: Mixer | None = None, words: dict[bytes, int] | None = None):
-        self.entries, self.mixer, self.words, self.name = entries, mixer, words, uuid.uuid4().hex
+    def __init__(self, entries: dict[int, tuple[np.ndarray, np.ndarray]], mixer: Mixer | None = None, words: dict[bytes, float] | None = None):
+        self.entries, self.mixer, self.words = entries, mixer, words
 
-
-_UNFOLDED: dict[str, object] = {}
-
-
-def unfolded(model: Model) -> Predictors | Scorer:
-    """The model's predictors, or with a mixer its scorer; a worker keeps the last one."""
-    if model.name not in _UNFOLDED:
-        _UNFOLDED.clear()
-        predictors = Predictors(model.entries)
-        _UNFOLDED[model.name] = Scorer(predictors, model.mixer) if model.mixer else predictors
-    return _UNFOLDED[model.name]
+    def unfolded(self) -> Predictors | Scorer:
+        """The model's predictors, or with a mixer its scorer; they live as long as the broadcast they came with."""
+        if not hasattr(self, "_unfolded"):
+            predictors = Predictors(self.entries)
+            self._unfolded = Scorer(predictors, self.mixer) if self.mixer else predictors
+            self.entries = None
+        return self._unfolded
 
 
 def context_counts(partials: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -531,7 +528,7 @@ def fitted_mixer(docs: DataFrame, entries: dict[int, tuple[np.ndarray, np.ndarra
     shared = docs.sparkSession.sparkContext.broadcast(Model(entries))
 
     def learn(batches):
-        predictors, mixer = unfolded(shared.value), Mixer()
+        predictors, mixer = shared.value.unfolded(), Mixer()
         for keys, times in distinct_windows(batches):
             order = np.random.default_rng(len(keys)).permutation(len(keys))
             for start in range(0, len(keys), GROUP):
@@ -581,15 +578,14 @@ def score_texts(docs: DataFrame) -> DataFrame:
     total, distinct = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).head()
     total, distinct = total + ends, distinct + (ends > 0)
     entries = context_counts(partials)
-    model = Model(entries, fitted_mixer(docs, entries), frequent_words(vocabulary))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     below = total + distinct + 1
+    known = {w: math.log10((c + 1) / below) for w, c in frequent_words(vocabulary).items()}
+    shared = docs.sparkSession.sparkContext.broadcast(Model(entries, fitted_mixer(docs, entries), known))
 
     def score(batches):
         from pyspark import TaskContext
 
-        scorer = unfolded(shared.value)
-        known = {w: math.log10((c + 1) / below) for w, c in shared.value.words.items()}
+        scorer, known = shared.value.unfolded(), shared.value.words
         end_score = math.log10((ends + 1) / below)
         row = TaskContext.get().partitionId() << 33
         for batch in batches:

@@ -165,3 +165,19 @@ def test_windows_that_share_a_place_of_the_cache_cost_their_own(monkeypatch):
     crowded = lm.Scorer(predictors, mixer)
     assert np.allclose(crowded.bits(texts), wanted, rtol=1e-6)
     assert np.allclose(crowded.bits(texts[::-1]), wanted[::-1], rtol=1e-6)
+
+
+def test_merged_lists_are_counts_of_all():
+    rng = np.random.default_rng(4)
+    given = [np.unique(rng.integers(0, 500, size).astype(np.uint64), return_counts=True) for size in (1, 300, 40, 900)]
+    kept = [n.copy() for _, n in given]
+    keys, n = lm.merge(given)
+    wanted = sum((Counter(dict(zip(k.tolist(), c.tolist(), strict=True))) for k, c in given), Counter())
+    assert list(zip(keys.tolist(), n.tolist(), strict=True)) == sorted(wanted.items())
+    assert all((a == b).all() for a, (_, b) in zip(kept, given, strict=True))
+
+
+def test_a_worker_keeps_the_tables_and_not_the_arrays():
+    model = lm.Model({}, lm.Mixer(), {})
+    scorer = model.unfolded()
+    assert model.entries is None and model.unfolded() is scorer
